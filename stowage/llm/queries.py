@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from stowage.llm import bpe
+from stowage.llm import bpe, decontam, linededup, simhash, substring
 from stowage.llm.common import table
 
 
@@ -12,6 +13,61 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe,)}
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
-ORACLE_SQL: dict[str, str] = {}
+
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return linededup.digest_lines(docs, linededup.keep_bitmaps(docs, min_docs=10, keep_first=False))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+QUERIES = {f.__name__: f for f in (op2_bpe, op4_simhash, op5_substring, op6_lines, op8_decontaminate)}
+
+ORACLE_SQL: dict[str, str] = {
+    "op5_substring": r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        win AS (SELECT doc_id, i AS p, array_to_string(ws[i:i+34], ' ') AS s
+                FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM w WHERE len(ws) >= 35)),
+        hit AS (SELECT doc_id, p FROM (SELECT *, count(*) OVER (PARTITION BY s) AS n FROM win) WHERE n > 1),
+        gone AS (SELECT DISTINCT doc_id, p + j AS at FROM hit, (SELECT unnest(range(0, 35)) AS j)),
+        tok AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS at FROM w),
+        kept AS (SELECT t.doc_id, string_agg(word, ' ' ORDER BY t.at) AS s, count(*) AS n
+                 FROM tok t LEFT JOIN gone g ON g.doc_id = t.doc_id AND g.at = t.at WHERE g.at IS NULL GROUP BY t.doc_id)
+        SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(s, '')) AS kept_sha256
+        FROM w LEFT JOIN kept k ON k.doc_id = w.doc_id""",
+    "op6_lines": r"""
+        WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS pos
+                   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+        k AS (SELECT doc_id, line, pos, regexp_replace(translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g') AS key FROM l),
+        bad AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(bad.key) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE bad.key IS NULL), '')) AS kept_sha256
+        FROM k LEFT JOIN bad ON bad.key = k.key GROUP BY doc_id""",
+    "op8_decontaminate": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+        b AS (SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark WHERE text IS NOT NULL AND item_id IS NOT NULL),
+        bw AS (SELECT DISTINCT item, least(10, len(ws)) AS m, array_to_string(ws[i:i + least(10, len(ws)) - 1], ' ') AS s
+               FROM (SELECT item, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+        dw AS (SELECT doc_id, p, m, array_to_string(ws[p:p + m - 1], ' ') AS s
+               FROM (SELECT doc_id, ws, m, unnest(range(1, len(ws) - m + 2)) AS p FROM d, (SELECT DISTINCT m FROM bw) WHERE len(ws) >= m)),
+        occ AS (SELECT doc_id, p, bw.m, item FROM dw JOIN bw ON bw.s = dw.s AND bw.m = dw.m),
+        hits AS (SELECT doc_id, count(DISTINCT p + j) AS n FROM occ, (SELECT unnest(range(0, 10)) AS j) WHERE j < m GROUP BY doc_id),
+        its AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS s FROM (SELECT DISTINCT doc_id, item FROM occ) GROUP BY doc_id)
+        SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items,
+               sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
+        FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+}
