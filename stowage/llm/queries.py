@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import bpe, decontam, linededup, secrets, simhash, substring, toxicity
+from stowage.llm import ann, bpe, decontam, langid, linededup, secrets, simhash, substring, toxicity, warc
 from stowage.llm.common import table
 
 
+def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents")).drop("mixture")
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), keep_ids=False).drop("ids")
 
@@ -31,15 +35,26 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.digest_lines(docs, linededup.keep_bitmaps(docs, min_docs=10, keep_first=False))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 50 == 0)
+
+
 def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_bpe, op3_toxicity, op4_simhash, op5_substring, op6_lines, op8_decontaminate, op10_secrets)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_langid, op2_bpe, op3_toxicity, op4_simhash, op5_substring, op6_lines, op7_warc, op8_decontaminate, op9_multi_index, op10_secrets)
+}
 
 ORACLE_SQL: dict[str, str] = {
     "op5_substring": r"""
@@ -63,6 +78,13 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, count(*) AS n_lines, count(bad.key) AS n_dropped,
                sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE bad.key IS NULL), '')) AS kept_sha256
         FROM k LEFT JOIN bad ON bad.key = k.key GROUP BY doc_id""",
+    "op7_warc": r"""
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+        m AS (SELECT d, max(page_id) AS top FROM p WHERE n >= 1000 GROUP BY d)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN page_id < top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id < top THEN top END AS refers_to
+        FROM p LEFT JOIN m ON m.d = p.d AND p.n >= 1000""",
     "op8_decontaminate": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
