@@ -54,6 +54,16 @@ def document_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("_key_id"), F.xxhash64(F.col(text_col)).alias("_key_text")]
 
 
+def whole_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(_row, _text): each row as a struct beside its text, for operators that pass the id through."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+
+
+def unpacked(rows: DataFrame, column: str, like: DataFrame) -> DataFrame:
+    """The columns of ``like`` out of a struct column."""
+    return rows.select(*[F.col(column).getField(c).alias(c) for c in like.columns])
+
+
 def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["_key_id"].eqNullSafe(b["_key_id"]) & (a["_key_text"] == b["_key_text"])
 

@@ -108,7 +108,8 @@ def keep_bitmaps(docs: DataFrame, min_docs: int = 2, keep_first: bool = True, id
             yield flush(out)
 
     streamed = cut(dealt.mapInArrow(run, schema))
-    ends = streamed.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min("part").alias("start"))
+    # At most two rows a partition, so no larger than the plan itself.
+    ends = F.broadcast(streamed.where("kind = 2").groupBy("h1", "h2").agg(F.sum("n").alias("total"), F.min("part").alias("start")))
     own = [c for c in streamed.columns if c not in ("kind", "part", "n", "h1", "h2")]
     settled = streamed.where("kind = 1").join(ends, ["h1", "h2"]).where(F.col("total") >= min_docs)
     first = (F.col("part") == F.col("start")) & (F.col("n") == 0) if keep_first else F.lit(False)
@@ -142,10 +143,10 @@ def kept_lines(text: str | None, keep: bytes | None) -> tuple[str, int, int]:
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the column ``_keep``: each document's bitmap, or null."""
-    keyed = docs.withColumns({"_key_id": F.col(id_col), "_key_text": F.xxhash64(text_col)})
-    found = bitmaps.select("_key_id", "_key_text", F.col("keep").alias("_keep"))
-    return keyed.join(found, same_document(keyed, found), "left").drop(found["_key_id"], found["_key_text"]).drop("_key_id", "_key_text")
+    """(row, text, keep): each row of ``docs`` as a struct, its text, and its document's bitmap or null."""
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("row"), F.col(text_col).cast("string").alias("text"), *document_key(docs, id_col, text_col))
+    found = bitmaps.select("_key_id", "_key_text", "keep")
+    return rows.join(found, same_document(rows, found), "left").select("row", "text", "keep")
 
 
 def digest_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
@@ -154,12 +155,12 @@ def digest_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
     import pyarrow as pa
 
-    rows = with_bitmaps(docs.select("doc_id", "text"), bitmaps)
+    rows = with_bitmaps(docs.select("doc_id", "text"), bitmaps).select("row.doc_id", "text", "keep")
 
     def run(batches):
         for batch in slices(batches):
             total, dropped, digest = [], [], []
-            for text, keep in zip(batch.column("text").to_pylist(), batch.column("_keep").to_pylist()):
+            for text, keep in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist()):
                 left, n, lost = kept_lines(text, keep)
                 total.append(n)
                 dropped.append(lost)
@@ -171,12 +172,14 @@ def digest_lines(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
 
 def drop_lines(docs: DataFrame, bitmaps: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with the texts that the bitmaps leave; every row and every other column stays, a null text stays null."""
-    import pandas as pd
+    import pyarrow as pa
+
+    rows = with_bitmaps(docs, bitmaps, text_col=text_col)
 
-    @F.pandas_udf("string")
-    def left(text: pd.Series, keep: pd.Series) -> pd.Series:
-        return pd.Series([kept_lines(t, k)[0] if k is not None else t for t, k in zip(text, keep)], dtype=object)
+    def run(batches):
+        for batch in slices(batches):
+            left = [text if keep is None else kept_lines(text, keep)[0] for text, keep in zip(batch.column("text").to_pylist(), batch.column("keep").to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(left, pa.string())], ["row", "text"])
 
-    columns = docs.columns
-    joined = with_bitmaps(docs, bitmaps, text_col=text_col)
-    return joined.withColumn(text_col, F.when(F.col("_keep").isNull(), F.col(text_col)).otherwise(left(F.col(text_col), F.col("_keep")))).select(*columns)
+    rows = rows.mapInArrow(run, rows.select("row", "text").schema)
+    return rows.select(*[F.col("text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])

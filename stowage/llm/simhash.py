@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.common import cut, slices
@@ -47,16 +47,17 @@ def fingerprint(text: bytes | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): a row for each row of ``docs``. Null and empty texts, and texts without words, have fingerprint 0."""
+    """(doc_id, text_hash, fp): a row for each row of ``docs``. Null and empty texts, and texts without words, have fingerprint 0."""
     import pyarrow as pa
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
     def run(batches):
         for batch in slices(batches):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], pa.int64())], ["doc_id", "text_hash", "fp"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text_hash long, fp long")
 
 
 def block_masks(max_bits: int, blocks: int) -> list[int]:
@@ -117,14 +118,24 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of each row: its fingerprint and the smallest id that links reach from it.
+    """(doc_id, text_hash, fp, component, component_id) of each row: its fingerprint, its component's root fingerprint,
+    and the smallest id that links reach from it.
 
-    Ids that are null never name a component; one of null ids only has a null component. Rows that repeat stay.
+    Ids that are null never name a component; one of null ids only has a null component_id. Rows that repeat stay.
     """
     rows = cut(fingerprints(docs, words, id_col, text_col))
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = components(near_links(distinct, max_bits, blocks))
-    joined = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    joined = cut(joined)
-    named = joined.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(joined.join(named, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    joined = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("component")))
+    named = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return rows.join(joined.join(named, "component").select("fp", "component", "component_id"), "fp").select("doc_id", "text_hash", "fp", "component", "component_id")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (nulls last); of its repeats one stays."""
+    found = near_duplicates(docs, words, max_bits, blocks, id_col, text_col)
+    stays = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_stays_id"), F.col("s.text_hash").alias("_stays_text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_text"))
+    kept = rows.join(stays, rows["_id"].eqNullSafe(stays["_stays_id"]) & (rows["_text"] == stays["_stays_text"]), "left_semi")
+    one = kept.withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(0)))).where("_place = 1")
+    return one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
