@@ -225,7 +225,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     import pyarrow as pa
     import pyarrow.fs as pafs
 
-    files = index.select("run").distinct()
+    # A list of files looks small, but what is read from them is not: deal them out, and broadcast neither side.
+    files = index.select("run").distinct().repartition(shuffle_partitions(index.sparkSession), "run")
     names = ["run", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
@@ -247,7 +248,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in zip(names, kinds)], names)
 
     records = files.mapInArrow(run, "run string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return records.join(index.select("run", "offset", "range", "place"), ["run", "offset"]).drop("run", "offset")
+    return records.hint("merge").join(index.select("run", "offset", "range", "place"), ["run", "offset"]).drop("run", "offset")
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
