@@ -23,7 +23,8 @@ MIN_DOCS = 4
 MAX_ROWS = 16_000  # of the fitting sample
 MAX_TERMS = 4_000  # of a text in the fitting sample; scoring takes all terms
 FACTORS = 4
-EPOCHS = 20
+STEPS = 1500
+BATCH = 256
 LEAST_Z = 4.5
 PIECE = 1 << 20
 
@@ -69,7 +70,7 @@ class Machine:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(texts: list, labels, factors: int = FACTORS, epochs: int = EPOCHS, rate: float = 0.1, decay: float = 2e-5) -> Machine:
+def fit(texts: list, labels, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.1, decay: float = 2e-5, least_z: float = LEAST_Z) -> Machine:
     """A machine fitted by minibatch AdaGrad on log loss; pair terms are averaged over a text's number of terms.
 
     texts: arrays of hashed terms. Without both labels the score is constant, the smoothed share of label 1.
@@ -85,7 +86,7 @@ def fit(texts: list, labels, factors: int = FACTORS, epochs: int = EPOCHS, rate:
     with_toxic = np.bincount(np.searchsorted(terms, toxic), minlength=len(terms))
     n, n1 = max(len(y), 1), max(y.sum(), 1)
     spread = np.sqrt(np.maximum(count / n * (1 - count / n), 1e-9) * (1 / n1 + 1 / max(n - n1, 1)))
-    terms = terms[(count >= MIN_DOCS) & (np.abs(with_toxic / n1 - (count - with_toxic) / max(n - n1, 1)) >= LEAST_Z * spread)]
+    terms = terms[(count >= MIN_DOCS) & (np.abs(with_toxic / n1 - (count - with_toxic) / max(n - n1, 1)) >= least_z * spread)]
     rng = np.random.default_rng(7)
     weights, vectors = np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), factors))
     machine = Machine(terms, bias, weights, vectors)
@@ -93,23 +94,24 @@ def fit(texts: list, labels, factors: int = FACTORS, epochs: int = EPOCHS, rate:
         return machine
     rows = [machine.places(t) for t in texts]
     gw, gv = np.full(len(terms), 1e-2), np.full(vectors.shape, 1e-2)
-    for _ in range(epochs):
+    for _ in range(-(-steps // -(-len(rows) // BATCH))):
         order = rng.permutation(len(rows))
-        for at in range(0, len(order), 256):
-            batch = [i for i in order[at : at + 256] if len(rows[i])]
-            if not batch:
-                continue
+        for at in range(0, len(order), BATCH):
+            batch = order[at : at + BATCH]
             sizes = np.array([len(rows[i]) for i in batch])
-            idx, begin = np.concatenate([rows[i] for i in batch]), np.append(0, np.cumsum(sizes)[:-1])
-            v = vectors[idx]
-            s = np.add.reduceat(v, begin)
-            z = machine.bias + np.add.reduceat(weights[idx], begin) + 0.5 * ((s * s).sum(1) - np.add.reduceat((v * v).sum(1), begin)) / sizes
+            idx, own = np.concatenate([rows[i] for i in batch]), np.repeat(np.arange(len(batch)), sizes)
+            v, s, z = vectors[idx], np.zeros((len(batch), factors)), np.zeros(len(batch))
+            np.add.at(s, own, v)
+            np.add.at(z, own, weights[idx] - 0.5 * (v * v).sum(1) / sizes[own])
+            z += machine.bias + 0.5 * (s * s).sum(1) / np.maximum(sizes, 1)
             error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]
             machine.bias -= rate * error.mean()
-            e = np.repeat(error, sizes)
+            if not len(idx):
+                continue
+            e = error[own]
             touched, back = np.unique(idx, return_inverse=True)
             dw = np.bincount(back, e) + decay * len(batch) * weights[touched]
-            dv = np.stack([np.bincount(back, (e / np.repeat(sizes, sizes)) * (np.repeat(s[:, f], sizes) - v[:, f])) for f in range(factors)], 1) + decay * len(batch) * vectors[touched]
+            dv = np.stack([np.bincount(back, e / sizes[own] * (s[own, f] - v[:, f])) for f in range(factors)], 1) + decay * len(batch) * vectors[touched]
             gw[touched] += dw * dw
             gv[touched] += dv * dv
             weights[touched] -= rate * dw / np.sqrt(gw[touched])
