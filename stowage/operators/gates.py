@@ -19,11 +19,8 @@ def disc_wait(files: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def group_first_seen(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """(key, n, first_seen, position): groups in the order in which their first member comes."""
-    from pyspark.sql import Window
-
-    groups = rows.groupBy(key).agg(F.count("*").alias("n"), F.min(ordinal).alias("first_seen"))
-    return groups.withColumn("position", F.row_number().over(Window.orderBy("first_seen")).cast("long"))
+    """(key, n, first_seen): groups in the order in which their first member comes."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(ordinal).alias("first_seen")).orderBy("first_seen")
 
 
 def completeness(tracks: DataFrame, markers: DataFrame, keys: Sequence[str] = ("group_id",), groups: DataFrame | None = None) -> DataFrame:
@@ -77,7 +74,8 @@ def log_gate(batches: DataFrame, logs: DataFrame) -> DataFrame:
     title alone where that title is one album on both sides.
     """
     ids = logs.where("artist is not null and album is not null").select(collapse(F.col("artist")).alias("_a"), collapse(F.col("album")).alias("_t")).distinct()
-    facts = ids.agg(F.count("*").alias("_ids"), F.min("_a").alias("_only_a"), F.min("_t").alias("_only_t")).crossJoin(batches.agg(F.count("*").alias("_batches")))
+    counted = ids.withColumn("_id", F.lit(True)).unionByName(batches.select(F.lit(False).alias("_id")), allowMissingColumns=True)
+    facts = counted.agg(F.count_if("_id").alias("_ids"), F.count_if(~F.col("_id")).alias("_batches"), F.min("_a").alias("_only_a"), F.min("_t").alias("_only_t"))
     named = batches.withColumns({"_a": collapse(F.coalesce("artist", F.lit(""))), "_t": collapse(F.coalesce("album", F.lit("")))})
     alone = named.groupBy("_t").agg(F.count("*").alias("_same"))
     titles = ids.groupBy("_t").agg(F.count("*").alias("_n"), F.min("_a").alias("_by_title")).where("_n = 1").drop("_n")

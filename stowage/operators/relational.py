@@ -23,8 +23,10 @@ def latest(rows: DataFrame, keys: Sequence[str], by: Sequence[str], *, smallest:
 
 
 def top(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int = 1) -> DataFrame:
-    """The first ``n`` rows of each key in a given order."""
-    w = Window.partitionBy(*keys).orderBy(*order) if keys else Window.partitionBy(F.lit(0)).orderBy(*order)
+    """The first ``n`` rows of each key in a given order; without keys, of all rows."""
+    if not keys:
+        return rows.orderBy(*order).limit(n)
+    w = Window.partitionBy(*keys).orderBy(*order)
     return rows.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n).drop("_rank")
 
 

@@ -49,7 +49,7 @@ BINDINGS = {
         CASE WHEN p_size % 5 = 0 THEN 'vinyl' WHEN p_size % 5 = 1 THEN 'cassette' ELSE 'cd' END AS medium FROM {part} WHERE p_partkey % 20 = 1""",
     "lines": """SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS pos, @epoch(ts) AS sec, event_id, event_type, value FROM {events}""",
     "timed_line": """SELECT doc_id, pos, CAST(sec - min(sec) OVER (PARTITION BY doc_id) AS DOUBLE) AS time, event_id, event_type FROM {lines}""",
-    "held": """SELECT user_id AS doc_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'login' THEN 4 ELSE 5 END AS location_id, event_type AS actor, @json_k(props) AS sha, event_id FROM {events}""",
+    "held": """SELECT user_id AS doc_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS location_id, event_type AS actor, @json_k(props) AS sha, event_id FROM {events}""",
     "clock": """SELECT user_id AS doc_id, event_type AS actor, event_id % 3 AS n, event_id % 2 AS side FROM {events}""",
     "file": """SELECT doc_id, concat('lib/', source, '/', lang, '/', lpad(CAST(doc_id % 37 AS STRING), 2, '0'), '. ', lang, CASE WHEN doc_id % 4 = 0 THEN '.lrc' WHEN doc_id % 9 = 1 THEN '.wav' ELSE '.flac' END) AS rel_path,
         CAST(n_chars AS BIGINT) AS byte_size, CAST(CASE WHEN doc_id % 6 = 0 THEN NULL ELSE doc_id * 7 END AS BIGINT) AS mtime_ns, doc_id % 5 AS location_id FROM {documents}""",
@@ -311,7 +311,7 @@ def disc_wait(name):
     return gates.disc_wait(name.where("disc_no <> nation % 6"), ["nation"])
 
 
-@query("name", sql="SELECT nation, n, first_seen, row_number() OVER (ORDER BY first_seen) AS position FROM (SELECT nation, count(*) AS n, min(id) AS first_seen FROM {name} GROUP BY 1) x")
+@query("name", sql="SELECT nation, count(*) AS n, min(id) AS first_seen FROM {name} GROUP BY 1")
 def group_first_seen(name):
     return gates.group_first_seen(name, "nation", "id")
 

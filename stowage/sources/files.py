@@ -1,5 +1,9 @@
 """File sources: trees of audio and sidecars, staging folders, timed texts, rip logs, markers."""
 
+import os
+
+import pandas as pd
+import pyarrow.fs as fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,14 +29,35 @@ def is_track_marker(path: Column) -> Column:
     return (F.lower(file_name(path)) != ".nolrc") & (extension(path) == "nolrc")
 
 
+FILES = "path string, rel_path string, byte_size long, mtime_ns long"
+
+
 def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
-    """(path, rel_path, byte_size, mtime_ns) of files under a root, without contents; companion files ``._*`` are left out."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
-    base = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
-    base = base.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/")
-    rows = reader.load(root if recursive else f"{root}/*").drop("content")
-    rel = F.substr(F.col("path"), F.lit(len(base) + 2))
-    return rows.select("path", rel.alias("rel_path"), F.col("length").alias("byte_size"), (F.unix_micros("modificationTime") * 1000).alias("mtime_ns")).where(~F.startswith(file_name(F.col("path")), F.lit("._")))
+    """(path, rel_path, byte_size, mtime_ns) of files under a root, without contents; companion files ``._*`` are left out.
+
+    Spark's own readers pass over empty and hidden files, which are markers here, so the store is listed: the root on
+    the driver, each folder in it by a task. The root may be a path or a URI that tasks can reach.
+    """
+    uri = root if ":" in root else "file://" + os.path.abspath(root)
+
+    def rows(store, base: str, infos) -> list[tuple]:
+        return [(i.path, i.path[len(base) :].lstrip("/"), i.size, i.mtime_ns) for i in infos if i.type == fs.FileType.File and not i.base_name.startswith("._")]
+
+    store, base = fs.FileSystem.from_uri(uri)
+    top = store.get_file_info(fs.FileSelector(base))
+    found = spark.createDataFrame(rows(store, base, top), FILES)
+    folders = [(i.path,) for i in top if i.type == fs.FileType.Directory]
+    if not (recursive and folders):
+        return found
+
+    def walk(batches):
+        store, base = fs.FileSystem.from_uri(uri)
+        for batch in batches:
+            for folder in batch["path"]:
+                yield pd.DataFrame(rows(store, base, store.get_file_info(fs.FileSelector(folder, recursive=True))), columns=["path", "rel_path", "byte_size", "mtime_ns"])
+
+    spread = spark.createDataFrame(folders, "path string").repartition(max(1, min(len(folders), 1000)))
+    return found.unionByName(spread.mapInPandas(walk, FILES))
 
 
 def tree(files: DataFrame) -> DataFrame:
