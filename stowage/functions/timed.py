@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from stowage.functions.text import LINE_BREAK
 
+# Patterns of timed lines, metadata lines and words.
 STAMP = r"^\[(\d+):(\d+\.\d+)\](.*)"
 META = r"^\[[a-zA-Z]+:.*\]$"
 LINES = "array<struct<pos:int,time:double,text:string>>"

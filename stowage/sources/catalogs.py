@@ -109,7 +109,7 @@ def fetch_pages(fetch: Callable[[int], dict], per_page: int = 100, retries: int
                 break
             if attempt == retries:
                 raise RuntimeError(f"page {page} was refused {retries + 1} times")
-            pause(max(1.0, min(120.0, float(got["retry_after"]))))
+            pause(max(0.0, min(300.0, float(got["retry_after"]))))
         out += got.get("releases", [])
         pages = int(got.get("pagination", {}).get("pages", 1))
         page += 1

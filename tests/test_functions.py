@@ -66,7 +66,9 @@ def test_paths_and_names(spark):
     assert one(text.title_from_file, "x/1-02. Name.mp3") == "Name" and one(text.first_number, "3/12") == 3 and one(text.date_year, "1999-01-02") == "1999"
     assert one(lambda c: text.middle_cut(c, 7), "abcdefghij") == "abc…hij" and one(text.directory_label, "Artist/Album") == "Artist - Album" and one(text.directory_label, "Album") == "Album"
     assert one(lambda c: text.human_bytes(c.cast("long")), "1536") == "1.5 KB" and one(lambda c: text.human_eta(c), "3725") == "1:02:05"
-    assert one(text.retry_seconds, "500") == 120.0 and one(text.retry_seconds, "x") is None
+    retry = lambda v: one(lambda c: text.retry_seconds(c, F.lit(784111777 - 5)), v)
+    assert [retry(v) for v in ("500", "x", "-1", "2.5", "Sun, 06 Nov 1994 08:49:37 GMT")] == [300.0, 60.0, 0.0, 2.5, 5.0]
+    assert one(lambda c: text.middle_cut(c, 8), "abcdefghij") == "abc…ghij" and one(lambda c: text.middle_cut(c, 2), "abc") == "ab"
     assert value(spark, text.image_kind(F.col("v")), v=bytes.fromhex("89504E470D0A1A0A00")) == "image/png" and value(spark, text.image_kind(F.col("v")), v=b"\xff\xd8") == "image/jpeg"
     assert value(spark, text.label(F.col("a"), F.col("b"), F.col("k")), a="", b="", k="c:1") == "c:1"
 

@@ -79,7 +79,7 @@ def test_cache_and_pages(spark, tmp_path):
         asked.append(page)
         return {"retry_after": 300} if len(asked) == 2 else {"releases": [{"id": page}], "pagination": {"pages": 2}}
 
-    assert catalogs.fetch_pages(fetch, pause=pauses.append) == [{"id": 1}, {"id": 2}] and asked == [1, 2, 2] and pauses == [pytest.approx(2.64), 120.0]
+    assert catalogs.fetch_pages(fetch, pause=pauses.append) == [{"id": 1}, {"id": 2}] and asked == [1, 2, 2] and pauses == [pytest.approx(2.64), 300.0]
     with pytest.raises(RuntimeError):
         catalogs.fetch_pages(lambda page: {"retry_after": 1})
     with pytest.raises(ValueError, match="known"):
