@@ -2,11 +2,14 @@
 
 Edges are the ``window``-token sequences of the corpus. As in minimizer-partitioned graph construction, consecutive
 edges with the same minimizer (the least hash among their ``anchor``-token k-mers) travel as one record: the minimizer,
-the edges' hashes and the source coordinates. Equal records of a block of documents are one with many coordinates. All
-occurrences of an edge have the same minimizer at the same place, so they meet in the minimizer's partition, where
-sorted records stream by and a minimizer's edges are counted. Runs of repeated edges leave as one compacted path per
-source coordinate; paths of neighbouring minimizers are glued by grouping and joining on the coordinates, and the join
-with the documents takes the words of each source span.
+the edges' hashes and the source coordinate. All occurrences of an edge have the same minimizer at the same place, so
+they meet in the minimizer's partition, where sorted records stream by and a minimizer's edges are counted. Runs of
+repeated edges leave as one compacted path per source coordinate; paths of neighbouring minimizers are glued by grouping
+and joining on the coordinates, and the join with the documents takes the words of each source span.
+
+Equal records of a block of documents are known to be repeated there and then: their paths leave under scattered keys,
+and one record without coordinates stands for them all. So a passage that a third of the corpus holds costs its minimizer
+one short record a block, and equal ones of those are merged again while they stream by.
 
 Edges are compared by 48 bits of hash among edges of one 64-bit minimizer hash.
 """
@@ -16,6 +19,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,12 +29,36 @@ BASE = 0x9E3779B97F4A7C15 | 1
 BLOCK_WORDS = 500_000
 PIECE = 1 << 20  # bytes of a text whose words are objects at one time
 WIDTH = 6  # bytes kept of an edge's hash
-PLACE = 20  # bytes of a coordinate: document key, start
+RECORD = ["minimizer", "edges", "seen", "run", "places"]
+MANY = 1 << 15  # records of one minimizer that are looked through for equal ones
+
+
+#: A coordinate: both halves of the document's key, and the start.
+PLACES = np.dtype([("a", "<i8"), ("b", "<i8"), ("start", "<u4")])
+
+
+def _binary(lengths, data: bytes):
+    """An Arrow column of binary values of given lengths that lie end to end."""
+    import pyarrow as pa
+
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _flat(column):
+    """Lengths and bytes of an Arrow binary column."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.diff(offsets), np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+
+
+def _wide(data):
+    """Packed edge hashes as 64-bit integers."""
+    out = np.zeros((len(data) // WIDTH, 8), np.uint8)
+    out[:, :WIDTH] = data.reshape(-1, WIDTH)
+    return out.view(np.uint64).ravel()
 
 
 def word_hashes(text: bytes | None):
     """A 64-bit hash for each word (maximal run of bytes other than ASCII white space)."""
-    import numpy as np
     import xxhash
 
     hash_of, parts, at, n = xxhash.xxh64_intdigest, [], 0, len(text or b"")
@@ -44,8 +72,6 @@ def word_hashes(text: bytes | None):
 
 
 def _mixed(x):
-    import numpy as np
-
     x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
     x = (x ^ (x >> np.uint64(29))) * np.uint64(0xA0761D6478BD642F | 1)
     return x ^ (x >> np.uint64(32))
@@ -55,8 +81,6 @@ class Rolling:
     """Hashes of all runs of ``n`` consecutive values, by prefix sums of a polynomial over the integers modulo 2^64."""
 
     def __init__(self, values):
-        import numpy as np
-
         size = len(values) + 1
         inverse = np.uint64(pow(BASE, -1, 1 << 64))
         up, down = np.full(size, np.uint64(BASE)), np.full(size, inverse)
@@ -71,8 +95,6 @@ class Rolling:
 
 def leftmost_minima(values, width: int):
     """For each start, the place of the first of the least of ``width`` values from there on."""
-    import numpy as np
-
     least, place, span = values, np.arange(len(values), dtype=np.int32), 1
 
     def joined(shift):
@@ -90,8 +112,11 @@ def leftmost_minima(values, width: int):
 
 
 def edge_records(docs: DataFrame, window: int, anchor: int, id_col: str, text_col: str) -> DataFrame:
-    """(minimizer, edges, places): packed hashes of consecutive edges and all their source coordinates in a block."""
-    import numpy as np
+    """(minimizer, edges, seen, run, places) of each block of documents.
+
+    A record has packed hashes of consecutive edges, how often they were seen (1, or 2 for more), and the coordinate of
+    a single one. A row without edges is a finished path: ``run`` repeated edges at each of its coordinates.
+    """
     import pyarrow as pa
 
     keyed = docs.select(*document_key(docs, id_col, text_col), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -120,20 +145,31 @@ def edge_records(docs: DataFrame, window: int, anchor: int, id_col: str, text_co
         minimizer = gram[place[head]]
         with np.errstate(over="ignore"):
             same = _mixed(edge[head] * np.uint64(3) + edge[tail] * np.uint64(5) + count.astype(np.uint64)) ^ minimizer
-        _, kept, group = np.unique(same, return_index=True, return_inverse=True)
+        _, kept, group, times = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
         order = np.argsort(group, kind="stable")
-        places = np.zeros(len(order), np.dtype([("a", "<i8"), ("b", "<i8"), ("start", "<u4")]))
+        places = np.zeros(len(order), PLACES)
         own = piece[head[order]]
         begin = np.array([p[2] for p in pieces]) - (ends - sizes)
         places["a"], places["b"] = np.array([p[0] for p in pieces])[own], np.array([p[1] for p in pieces])[own]
         places["start"] = head[order] + begin[own]
+        once = times == 1
+        alone = np.repeat(once, times)
         take = np.repeat(first[kept] - np.append(0, np.cumsum(count[kept])[:-1]), count[kept]) + np.arange(count[kept].sum())
         packed = edge[starts[take]].view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
-
-        def binary(lengths, data: bytes):
-            return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(np.append(0, np.cumsum(lengths)).astype(np.int32)), pa.py_buffer(data)])
-
-        return pa.RecordBatch.from_arrays([pa.array(minimizer[kept].view(np.int64)), binary(count[kept] * WIDTH, packed), binary(np.bincount(group, minlength=len(kept)) * PLACE, places.tobytes())], ["minimizer", "edges", "places"])
+        m = len(kept)
+        repeated = np.flatnonzero(~once)
+        paths = places[~alone]
+        spread = _mixed((paths["b"] + paths["start"])[np.cumsum(times[repeated]) - times[repeated]].astype(np.uint64)) if len(repeated) else np.zeros(0, np.uint64)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.concatenate([minimizer[kept], spread]).view(np.int64)),
+                _binary(np.concatenate([count[kept] * WIDTH, np.zeros(len(repeated), np.int64)]), packed),
+                pa.array(np.concatenate([np.minimum(times, 2), np.zeros(len(repeated), np.int64)]).astype(np.int32)),
+                pa.array(np.concatenate([np.zeros(m, np.int64), count[kept][repeated]]).astype(np.int32)),
+                _binary(np.concatenate([once * PLACES.itemsize, times[repeated] * PLACES.itemsize]), places[alone].tobytes() + paths.tobytes()),
+            ],
+            RECORD,
+        )
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         waiting, words = [], 0
@@ -150,36 +186,33 @@ def edge_records(docs: DataFrame, window: int, anchor: int, id_col: str, text_co
         if waiting and (out := records(waiting)) is not None:
             yield out
 
-    return rows.mapInArrow(run, "minimizer long, edges binary, places binary")
+    return rows.mapInArrow(run, "minimizer long, edges binary, seen int, run int, places binary")
 
 
 def repeated_paths(records: DataFrame) -> DataFrame:
     """(a, b, start, edges): for each source coordinate, runs of consecutive edges that occur more than once."""
-    import numpy as np
     import pyarrow as pa
 
     dealt = records.repartition(shuffle_partitions(records.sparkSession), "minimizer").sortWithinPartitions("minimizer")
-    place = np.dtype([("a", "<i8"), ("b", "<i8"), ("start", "<u4")])
-
-    def flat(column) -> tuple[np.ndarray, np.ndarray]:
-        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-        data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
-        return np.diff(offsets), data
-
-    def paths(table) -> pa.RecordBatch | None:
-        batch = table.combine_chunks().to_batches()[0]
-        minimizer = batch.column(0).to_numpy()
-        edge_bytes, edge_data = flat(batch.column(1))
-        place_bytes, place_data = flat(batch.column(2))
-        n, copies = edge_bytes // WIDTH, place_bytes // PLACE
-        wide = np.zeros((len(edge_data) // WIDTH, 8), np.uint8)
-        wide[:, :WIDTH] = edge_data.reshape(-1, WIDTH)
-        row = np.repeat(np.arange(len(n)), n)
+
+    def rows(found, edges) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(found["a"]), pa.array(found["b"]), pa.array(found["start"].astype(np.int64)), pa.array(np.asarray(edges, np.int64))], ["a", "b", "start", "edges"])
+
+    def finished(batch) -> pa.RecordBatch:
+        sizes, data = _flat(batch.column(4))
+        return rows(np.frombuffer(data.tobytes(), PLACES), np.repeat(batch.column(3).to_numpy(), sizes // PLACES.itemsize))
+
+    def paths(batch) -> pa.RecordBatch | None:
+        minimizer, seen = batch.column(0).to_numpy(), batch.column(2).to_numpy()
+        edge_bytes, edge_data = _flat(batch.column(1))
+        place_bytes, place_data = _flat(batch.column(4))
+        n, copies = edge_bytes // WIDTH, place_bytes // PLACES.itemsize
+        row, value = np.repeat(np.arange(len(n)), n), _wide(edge_data)
         group = np.cumsum(np.append(0, minimizer[1:] != minimizer[:-1]))
-        order = np.lexsort((wide.view(np.uint64).ravel(), group[row]))
-        sorted_edge, sorted_group = wide.view(np.uint64).ravel()[order], group[row][order]
+        order = np.lexsort((value, group[row]))
+        sorted_edge, sorted_group = value[order], group[row][order]
         new = np.append(True, (sorted_edge[1:] != sorted_edge[:-1]) | (sorted_group[1:] != sorted_group[:-1]))
-        total = np.bincount(np.cumsum(new) - 1, weights=copies[row][order])
+        total = np.bincount(np.cumsum(new) - 1, weights=seen[row][order])
         repeated = np.zeros(len(row), bool)
         repeated[order] = (total >= 2)[np.cumsum(new) - 1]
         begins = repeated & np.append(True, ~repeated[:-1] | (row[1:] != row[:-1]))
@@ -190,18 +223,45 @@ def repeated_paths(records: DataFrame) -> DataFrame:
         of, offset = row[begin], begin - (np.cumsum(n) - n)[row[begin]]
         times = copies[of]
         at = np.repeat((np.cumsum(copies) - copies)[of] - (np.cumsum(times) - times), times) + np.arange(times.sum())
-        found = np.frombuffer(place_data.tobytes(), place)[at]
-        return pa.RecordBatch.from_arrays([pa.array(found["a"]), pa.array(found["b"]), pa.array((found["start"] + np.repeat(offset, times)).astype(np.int64)), pa.array(np.repeat(length, times).astype(np.int64))], ["a", "b", "start", "edges"])
+        found = np.frombuffer(place_data.tobytes(), PLACES)[at]
+        found["start"] += np.repeat(offset, times).astype(np.uint32)
+        return rows(found, np.repeat(length, times))
+
+    def merged(batch) -> tuple[pa.RecordBatch, pa.RecordBatch | None]:
+        """One minimizer's records with equal ones as one, and the paths of those: what has an equal is repeated."""
+        edge_bytes, edge_data = _flat(batch.column(1))
+        n, value = edge_bytes // WIDTH, _wide(edge_data)
+        head = value[np.cumsum(n) - n]
+        tail = value[np.cumsum(n) - 1]
+        _, kept, group, times = np.unique(np.stack([head, tail, n.astype(np.uint64)], 1), axis=0, return_index=True, return_inverse=True, return_counts=True)
+        again = times[group.ravel()] > 1
+        sizes, data = _flat(batch.column(4))
+        copies = sizes // PLACES.itemsize
+        out = rows(np.frombuffer(data.tobytes(), PLACES)[np.repeat(again, copies)], np.repeat(n, copies)[np.repeat(again, copies)])
+        left = batch.take(pa.array(kept))
+        sizes, data = _flat(left.column(4))
+        single = times == 1
+        places = np.frombuffer(data.tobytes(), PLACES)[np.repeat(single, sizes // PLACES.itemsize)]
+        left = pa.RecordBatch.from_arrays([left.column(0), left.column(1), pa.array(np.where(single, left.column(2).to_numpy(), 2).astype(np.int32)), left.column(3), _binary(sizes * single, places.tobytes())], RECORD)
+        return left, out if out.num_rows else None
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         carried = None
         for batch in slices(batches, 1 << 14):
-            got = pa.Table.from_batches([batch])
-            if carried is not None:
-                got = pa.concat_tables([carried, got])
+            path = batch.column(2).to_numpy() == 0
+            if path.any():
+                yield finished(batch.filter(pa.array(path)))
+                batch = batch.filter(pa.array(~path))
+                if not batch.num_rows:
+                    continue
+            got = batch if carried is None else pa.Table.from_batches([carried, batch]).combine_chunks().to_batches()[0]
             minimizer = got.column(0).to_numpy()
             whole = int(np.searchsorted(minimizer, minimizer[-1]))  # the last minimizer may go on
             carried = got.slice(whole)
+            if carried.num_rows >= MANY:
+                carried, out = merged(carried)
+                if out is not None:
+                    yield out
             if whole and (out := paths(got.slice(0, whole))) is not None:
                 yield out
         if carried is not None and carried.num_rows and (out := paths(carried)) is not None:
@@ -221,7 +281,6 @@ def remove_repeats(docs: DataFrame, window: int = 35, anchor: int = 12, id_col:
     A null text has no words. Rows that repeat are occurrences of their own, so they lose all their windows. Every
     occurrence goes, the first included. Kept words are joined by one space.
     """
-    import numpy as np
     import pyarrow as pa
 
     spans = repeated_spans(docs, window, anchor, id_col, text_col)
