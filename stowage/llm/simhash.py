@@ -134,8 +134,11 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, blocks:
 def drop_near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, blocks: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each component: that of the smallest id (nulls last); of its repeats one stays."""
     found = near_duplicates(docs, words, max_bits, blocks, id_col, text_col)
-    stays = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s")).select(F.col("s.doc_id").alias("_stays_id"), F.col("s.text_hash").alias("_stays_text"))
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_text"))
-    kept = rows.join(stays, rows["_id"].eqNullSafe(stays["_stays_id"]) & (rows["_text"] == stays["_stays_text"]), "left_semi")
+    # Both sides are keyed without nulls, so that the join and the window share one exchange of the rows.
+    key = lambda c: F.coalesce(c.cast("string"), F.lit("\x00"))
+    best = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
+    stays = best.select(key(F.col("s.doc_id")).alias("_id"), F.col("s.text_hash").alias("_text"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), key(F.col(id_col)).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_text"))
+    kept = rows.join(stays, ["_id", "_text"], "left_semi")
     one = kept.withColumn("_place", F.row_number().over(Window.partitionBy("_id", "_text").orderBy(F.lit(0)))).where("_place = 1")
     return one.select(*[F.col("_row").getField(c).alias(c) for c in docs.columns])
