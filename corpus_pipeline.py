@@ -18,8 +18,8 @@ from stowage.llm.common import crc_mod, shared_dir, table, unpacked, whole_rows
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language was identified; texts that are null or hold no letters go."""
     model = langid.learn(docs, lambda c: crc_mod(c, 4) != 2)
-    found = langid.predict(whole_rows(docs), model, "_row", "_text")
-    return unpacked(found.where(F.col("lang_pred") != langid.UNKNOWN), "doc_id", docs)
+    found = langid.predict(whole_rows(docs), model, "_row", "_text", keep_text=True)
+    return unpacked(found.where(F.col("lang_pred") != langid.UNKNOWN), "doc_id", "text", docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +34,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark window occurs."""
-    found = decontam.contamination(whole_rows(docs), table(spark, sf_dir, "benchmark"), id_col="_row", text_col="_text")
-    return unpacked(found.where("n_hit = 0"), "doc_id", docs)
+    found = decontam.contamination(whole_rows(docs), table(spark, sf_dir, "benchmark"), id_col="_row", text_col="_text", keep_text=True)
+    return unpacked(found.where("n_hit = 0"), "doc_id", "text", docs)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

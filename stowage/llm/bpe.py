@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from stowage.llm.common import slices, worker_state
 
 CHUNK = 1 << 16
-CACHED_PIECES = 500_000  # in each of two generations
+CACHED_PIECES = 300_000  # in each of two generations
 CACHED_PAIRS = 500_000
 CACHED_LENGTH = 64
 
@@ -269,7 +269,7 @@ class _Pieces(dict):
 
 
 def transducer(definition: str) -> Transducer:
-    return worker_state("bpe_" + hashlib.sha1(definition.encode()).hexdigest(), lambda: Transducer(definition))
+    return worker_state("bpe", hashlib.sha1(definition.encode()).hexdigest(), lambda: Transducer(definition))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

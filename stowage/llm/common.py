@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import sys
 import types
-import uuid
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,13 +29,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet in the shared folder and read again; for what is too large for a row checkpoint."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo ``n``; null where the column is null."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n
@@ -55,27 +47,31 @@ def document_key(docs: DataFrame, id_col: str, text_col: str) -> list[Column]:
 
 
 def whole_rows(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(_row, _text): each row as a struct beside its text, for operators that pass the id through."""
-    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), F.col(text_col).alias("_text"))
+    """(_row, _text): each row's other columns as a struct beside its text, for operators that pass the id through."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns if c != text_col]).alias("_row"), F.col(text_col).cast("string").alias("_text"))
 
 
-def unpacked(rows: DataFrame, column: str, like: DataFrame) -> DataFrame:
-    """The columns of ``like`` out of a struct column."""
-    return rows.select(*[F.col(column).getField(c).alias(c) for c in like.columns])
+def unpacked(rows: DataFrame, row_col: str, rows_text: str, like: DataFrame, text_col: str = "text") -> DataFrame:
+    """The columns of ``like`` from a struct of all but the text, and the text."""
+    text = F.col(rows_text).cast("string")
+    return rows.select(*[text.alias(c) if c == text_col else F.col(row_col).getField(c).alias(c) for c in like.columns])
 
 
 def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["_key_id"].eqNullSafe(b["_key_id"]) & (a["_key_text"] == b["_key_text"])
 
 
-def worker_state(name: str, make: Callable[[], object]) -> object:
-    """A value kept for the life of a Python worker process, across tasks; made on first use."""
+def worker_state(family: str, key: object, make: Callable[[], object]) -> object:
+    """A value kept in a Python worker process across tasks; made on first use, and let go when the family's key changes."""
     holder = sys.modules.get("_stowage_worker_state")
     if holder is None:
         holder = sys.modules["_stowage_worker_state"] = types.ModuleType("_stowage_worker_state")
-    if not hasattr(holder, name):
-        setattr(holder, name, make())
-    return getattr(holder, name)
+    held = getattr(holder, family, None)
+    if held is None or held[0] != key:
+        setattr(holder, family, None)
+        held = (key, make())
+        setattr(holder, family, held)
+    return held[1]
 
 
 def slices(batches: Iterator, rows: int = 1024) -> Iterator:

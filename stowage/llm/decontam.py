@@ -120,7 +120,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, last: bo
     import numpy as np
     import pyarrow as pa
 
-    shared, name = docs.sparkSession.sparkContext.broadcast(items), f"suffixes_{uuid.uuid4().hex}"
+    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
 
     def numbers(text: bytes | None, number) -> np.ndarray:
         text, parts, at = (text or b"").translate(TO_WORDS), [], 0
@@ -176,7 +176,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, last: bo
     kept = ["doc_id"] if last else ["doc_id", "text"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        suffixes = worker_state(name, lambda: Suffixes(shared.value, window))
+        suffixes = worker_state("suffixes", name, lambda: Suffixes(shared.value, window))
         number = suffixes.number.get
         for batch in slices(batches, 512):
             rows, waiting, words = batch.select(list(FINDINGS)).to_pylist(), [], 0
@@ -210,11 +210,11 @@ def benchmark_blocks(benchmark: DataFrame, item_col: str, text_col: str, block_w
         yield block
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_words: int = BLOCK_WORDS, keep_text: bool = False) -> DataFrame:
     """(doc_id, n_words, n_hit, hit, found, longest, longest_item, longest_at): a row for each row of ``docs``.
 
     ``hit`` is a bitmap of the words inside occurrences (null if none), ``found`` the ids of the items whose windows
-    occur, sorted as strings. A window is ``window`` consecutive words of an item, or a shorter item as a whole. Null
+    occur, sorted as strings; ``keep_text`` adds the text as ``text`` (binary). A window is ``window`` consecutive words of an item, or a shorter item as a whole. Null
     texts have no words; items of null id or text, or without words, have no window. Repeated rows each get their own.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
@@ -223,7 +223,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     block = next(blocks, [])
     while block is not None:
         following = next(blocks, None)
-        rows, block = _pass(rows, block, window, following is None), following
+        rows, block = _pass(rows, block, window, following is None and not keep_text), following
     return rows
 
 

@@ -39,7 +39,7 @@ def grams(text: str | None):
     """(buckets, counts) of the letter n-grams of a text, or None if it has no letters."""
     import numpy as np
 
-    letter = worker_state("letters", _letters)
+    letter = worker_state("letters", None, _letters)
     total, carried = None, ""
     text = text or ""
     for at in range(0, len(text), PIECE):
@@ -150,11 +150,11 @@ def learn(docs: DataFrame, learns, max_docs: int = MAX_DOCS, id_col: str = "doc_
     return Mixture(languages, counts)
 
 
-def predict(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score, mixture): a row for each row; ``und``, 0 and no mixture for texts without letters."""
+def predict(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """(doc_id[, text], lang_pred, score, mixture): a row for each row; ``und``, 0 and no mixture for texts without letters."""
     import pyarrow as pa
 
-    shared, name = docs.sparkSession.sparkContext.broadcast((model.languages, model.p)), f"mixture_{uuid.uuid4().hex}"
+    shared, name = docs.sparkSession.sparkContext.broadcast((model.languages, model.p)), uuid.uuid4().hex
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def made():
@@ -163,12 +163,13 @@ def predict(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col: s
         return own
 
     def run(batches):
-        own = worker_state(name, made)
+        own = worker_state("mixture", name, made)
         for batch in slices(batches, 256):
             got = [own.infer(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([list(g[2].items()) for g in got], pa.map_(pa.string(), pa.float64()))], ["doc_id", "lang_pred", "score", "mixture"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([list(g[2].items()) for g in got], pa.map_(pa.string(), pa.float64()))], [*kept, "lang_pred", "score", "mixture"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, mixture map<string,double>")
+    kept = ["doc_id", "text"] if keep_text else ["doc_id"]
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()},{' text string,' if keep_text else ''} lang_pred string, score double, mixture map<string,double>")
 
 
 def identify(docs: DataFrame) -> DataFrame:
