@@ -269,7 +269,7 @@ class _Pieces(dict):
 
 
 def transducer(definition: str) -> Transducer:
-    return worker_state("bpe", hashlib.sha1(definition.encode()).hexdigest(), lambda: Transducer(definition))
+    return worker_state("bpe", "transducer", hashlib.sha1(definition.encode()).hexdigest(), lambda: Transducer(definition))
 
 
 def encode_documents(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:

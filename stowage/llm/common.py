@@ -61,17 +61,26 @@ def same_document(a: DataFrame, b: DataFrame) -> Column:
     return a["_key_id"].eqNullSafe(b["_key_id"]) & (a["_key_text"] == b["_key_text"])
 
 
-def worker_state(family: str, key: object, make: Callable[[], object]) -> object:
-    """A value kept in a Python worker process across tasks; made on first use, and let go when the family's key changes."""
-    holder = sys.modules.get("_stowage_worker_state")
-    if holder is None:
-        holder = sys.modules["_stowage_worker_state"] = types.ModuleType("_stowage_worker_state")
-    held = getattr(holder, family, None)
-    if held is None or held[0] != key:
-        setattr(holder, family, None)
-        held = (key, make())
-        setattr(holder, family, held)
-    return held[1]
+def _held(operator: str) -> dict:
+    """What a Python worker process keeps for an operator across tasks; what it kept for others is let go."""
+    holder = sys.modules.setdefault("_stowage_worker_state", types.ModuleType("_stowage_worker_state"))
+    if getattr(holder, "operator", None) != operator:
+        holder.operator, holder.state = operator, {}
+    return holder.state
+
+
+def starts(operator: str) -> None:
+    """An operator without state of its own begins in this worker process."""
+    _held(operator)
+
+
+def worker_state(operator: str, name: str, key: object, make: Callable[[], object]) -> object:
+    """A value kept in a worker process for an operator's tasks; made on first use and whenever its key changes."""
+    state = _held(operator)
+    if name not in state or state[name][0] != key:
+        state.pop(name, None)
+        state[name] = (key, make())
+    return state[name][1]
 
 
 def slices(batches: Iterator, rows: int = 1024) -> Iterator:

@@ -176,7 +176,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, last: bo
     kept = ["doc_id"] if last else ["doc_id", "text"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        suffixes = worker_state("suffixes", name, lambda: Suffixes(shared.value, window))
+        suffixes = worker_state("decontam", "suffixes", name, lambda: Suffixes(shared.value, window))
         number = suffixes.number.get
         for batch in slices(batches, 512):
             rows, waiting, words = batch.select(list(FINDINGS)).to_pylist(), [], 0

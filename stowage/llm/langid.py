@@ -39,7 +39,7 @@ def grams(text: str | None):
     """(buckets, counts) of the letter n-grams of a text, or None if it has no letters."""
     import numpy as np
 
-    letter = worker_state("letters", None, _letters)
+    letter = worker_state("langid", "letters", None, _letters)
     total, carried = None, ""
     text = text or ""
     for at in range(0, len(text), PIECE):
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: Mixture, id_col: str = "doc_id", text_col: s
         return own
 
     def run(batches):
-        own = worker_state("mixture", name, made)
+        own = worker_state("langid", "mixture", name, made)
         for batch in slices(batches, 256):
             got = [own.infer(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([list(g[2].items()) for g in got], pa.map_(pa.string(), pa.float64()))], [*kept, "lang_pred", "score", "mixture"])

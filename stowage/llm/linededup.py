@@ -14,7 +14,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut, document_key, same_document, shuffle_partitions, slices
+from stowage.llm.common import cut, document_key, same_document, shuffle_partitions, slices, starts
 
 BLANK = b" \t\n\x0b\x0c\r"
 
@@ -32,6 +32,7 @@ def line_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     names = ["h1", "h2", "_key_id", "_key_text", "n_lines", "at"]
 
     def run(batches):
+        starts("linededup")
         for batch in slices(batches):
             h1, h2, row, count, at = [], [], [], [], []
             for i, text in enumerate(batch.column("text").to_pylist()):

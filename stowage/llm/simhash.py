@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut, slices
+from stowage.llm.common import cut, slices, starts
 
 CROWDED = 128  # a bucket up to this size is joined with itself
 CHUNK = 1024  # fingerprints of a crowded bucket in a chunk
@@ -54,6 +54,7 @@ def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_c
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.cast("binary").alias("text"))
 
     def run(batches):
+        starts("simhash")
         for batch in slices(batches):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([fingerprint(t, words) for t in batch.column("text").to_pylist()], pa.int64())], ["doc_id", "text_hash", "fp"])
 

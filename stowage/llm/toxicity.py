@@ -154,7 +154,7 @@ def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", t
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
 
     def run(batches):
-        own = worker_state("machine", name, lambda: Machine(*shared.value))
+        own = worker_state("toxicity", "machine", name, lambda: Machine(*shared.value))
         for batch in slices(batches, 512):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([own.score(terms_of(t)) for t in batch.column("text").to_pylist()], pa.float64())], ["doc_id", "score"])
 
