@@ -76,11 +76,9 @@ def upsert(table: DataFrame, changes: DataFrame, keys: Sequence[str], *, keep_fi
     Columns of ``keep_first`` keep what an old row has; those of ``never_clear`` take the change unless it is null;
     all others take the change. A column that changes lack keeps its value. Null keys match each other.
     """
-    a, b = table.alias("a"), changes.alias("b")
     on = [F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}")) for k in keys]
     old, new = F.col("a._here").isNotNull(), F.col("b._here").isNotNull()
     joined = table.withColumn("_here", F.lit(1)).alias("a").join(changes.withColumn("_here", F.lit(1)).alias("b"), on, "full")
-    del a, b
 
     def merged(c: str) -> Column:
         if c not in changes.columns:
