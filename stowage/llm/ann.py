@@ -112,7 +112,6 @@ def search(rows: DataFrame, is_query, k: int = 5, share: float = SHARE, least: i
     fewer candidates returns all of them; an empty table returns no rows.
     """
     import numpy as np
-    import pandas as pd
     import pyarrow as pa
 
     out_schema = "query_id long, vec_id long, score double"

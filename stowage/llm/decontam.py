@@ -10,7 +10,6 @@ The benchmark goes out in blocks of at most ``BLOCK_WORDS`` words; a larger one
 
 from __future__ import annotations
 
-import hashlib
 import uuid
 from collections.abc import Iterator
 
