@@ -3,8 +3,8 @@
 A term is a word, or the first four or five bytes of a longer one, hashed to one of ``2 ** BITS`` numbers. Beside a
 weight for each term the machine learns a short vector for each, whose inner products weigh pairs of terms (an insult
 next to a group's name), which additive weights cannot. It is fitted on at most ``max_rows`` labelled rows in
-expectation (chosen by a hash of the id), on terms that ``MIN_DOCS`` of them have and whose shares among the two labels differ by
-``LEAST_Z`` standard errors; scoring is one pass over all texts.
+expectation (chosen by a hash of the id), on all terms that ``MIN_DOCS`` of them have; a weight must gain ``LEAST_Z``
+standard errors beside all other weights to leave 0, vectors decay. Scoring is one pass over all texts.
 """
 
 from __future__ import annotations
@@ -24,8 +24,10 @@ MAX_ROWS = 16_000  # of the fitting sample
 MAX_TERMS = 4_000  # of a text in the fitting sample; scoring takes all terms
 FACTORS = 4
 STEPS = 1500
+FIRST_STEPS = 1000  # of the weights alone
 BATCH = 256
 LEAST_Z = 4.5
+VECTOR_DECAY = 1e-3
 PIECE = 1 << 20
 
 
@@ -73,49 +75,58 @@ class Machine:
 def fit(texts: list, labels, factors: int = FACTORS, steps: int = STEPS, rate: float = 0.1, decay: float = 2e-5, least_z: float = LEAST_Z) -> Machine:
     """A machine fitted by minibatch AdaGrad on log loss; pair terms are averaged over a text's number of terms.
 
-    texts: arrays of hashed terms. Without both labels the score is constant, the smoothed share of label 1.
+    Weights alone come first, each with a penalty of ``least_z`` standard errors of a term without meaning. Those that
+    hold are free of it from then on, and vectors of all terms learn from what weights leave. texts: arrays of hashed
+    terms. Without both labels the score is constant, the smoothed share of label 1.
     """
     import numpy as np
 
     y = np.asarray(labels, float)
     share = (y.sum() + 0.5) / (len(y) + 1)
     bias = float(np.log(share / (1 - share)))
-    flat = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-    terms, count = np.unique(flat, return_counts=True)
-    toxic = np.concatenate([t for t, label in zip(texts, y) if label]) if y.any() else flat[:0]
-    with_toxic = np.bincount(np.searchsorted(terms, toxic), minlength=len(terms))
-    n, n1 = max(len(y), 1), max(y.sum(), 1)
-    spread = np.sqrt(np.maximum(count / n * (1 - count / n), 1e-9) * (1 / n1 + 1 / max(n - n1, 1)))
-    terms = terms[(count >= MIN_DOCS) & (np.abs(with_toxic / n1 - (count - with_toxic) / max(n - n1, 1)) >= least_z * spread)]
+    terms, count = np.unique(np.concatenate(texts) if texts else np.zeros(0, np.int64), return_counts=True)
+    terms, count = terms[count >= MIN_DOCS].astype(np.int64), count[count >= MIN_DOCS]
     rng = np.random.default_rng(7)
-    weights, vectors = np.zeros(len(terms)), rng.normal(0, 0.05, (len(terms), factors))
+    n = len(terms)
+    weights, vectors = np.zeros(n), rng.normal(0, 0.05, (n, factors))
     machine = Machine(terms, bias, weights, vectors)
-    if len(terms) == 0 or y.min() == y.max():
+    if n == 0 or y.min() == y.max():
+        machine.vectors = np.zeros((n, factors))
         return machine
-    rows = [machine.places(t) for t in texts]
-    gw, gv = np.full(len(terms), 1e-2), np.full(vectors.shape, 1e-2)
-    for _ in range(-(-steps // -(-len(rows) // BATCH))):
-        order = rng.permutation(len(rows))
-        for at in range(0, len(order), BATCH):
-            batch = order[at : at + BATCH]
-            sizes = np.array([len(rows[i]) for i in batch])
-            idx, own = np.concatenate([rows[i] for i in batch]), np.repeat(np.arange(len(batch)), sizes)
-            v, s, z = vectors[idx], np.zeros((len(batch), factors)), np.zeros(len(batch))
-            np.add.at(s, own, v)
-            np.add.at(z, own, weights[idx] - 0.5 * (v * v).sum(1) / sizes[own])
-            z += machine.bias + 0.5 * (s * s).sum(1) / np.maximum(sizes, 1)
-            error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[batch]
-            machine.bias -= rate * error.mean()
-            if not len(idx):
-                continue
-            e = error[own]
-            touched, back = np.unique(idx, return_inverse=True)
-            dw = np.bincount(back, e) + decay * len(batch) * weights[touched]
-            dv = np.stack([np.bincount(back, e / sizes[own] * (s[own, f] - v[:, f])) for f in range(factors)], 1) + decay * len(batch) * vectors[touched]
-            gw[touched] += dw * dw
-            gv[touched] += dv * dv
-            weights[touched] -= rate * dw / np.sqrt(gw[touched])
-            vectors[touched] -= rate * dv / np.sqrt(gv[touched])
+    rows = [machine.places(t).astype(np.int32) for t in texts]
+    known = np.array([len(r) for r in rows])
+    penalty = least_z * np.sqrt(share * (1 - share) / count)  # of each of a term's texts
+    for paired in (False, True):
+        gw, gv = np.full(n, 1e-2), np.full(vectors.shape, 1e-2)
+        for _ in range(-(-(steps if paired else FIRST_STEPS) // -(-len(rows) // BATCH))):
+            order = rng.permutation(len(rows))
+            for at in range(0, len(order), BATCH):
+                batch = order[at : at + BATCH]
+                filled = batch[known[batch] > 0]
+                machine.bias -= rate * (1 / (1 + np.exp(-machine.bias)) - y[batch[known[batch] == 0]]).sum() / len(batch)
+                if not len(filled):
+                    continue
+                sizes = known[filled]
+                idx, own, starts = np.concatenate([rows[i] for i in filled]), np.repeat(np.arange(len(filled)), sizes), np.cumsum(sizes) - sizes
+                z = machine.bias + np.add.reduceat(weights[idx], starts)
+                if paired:
+                    v = vectors[idx]
+                    s = np.add.reduceat(v, starts)
+                    z += 0.5 * ((s * s).sum(1) - np.add.reduceat((v * v).sum(1), starts)) / sizes
+                error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[filled]
+                machine.bias -= rate * error.sum() / len(batch)
+                e, seen = error[own], np.bincount(idx, minlength=n)
+                touched = np.flatnonzero(seen)
+                dw = np.bincount(idx, e, n)[touched] + decay * len(batch) * weights[touched]
+                gw[touched] += dw * dw
+                step = rate / np.sqrt(gw[touched])
+                moved = weights[touched] - step * dw
+                weights[touched] = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty[touched] * seen[touched], 0)
+                if paired:
+                    dv = np.stack([np.bincount(idx, e / sizes[own] * (s[own, f] - v[:, f]), n)[touched] for f in range(factors)], 1) + VECTOR_DECAY * len(batch) * vectors[touched]
+                    gv[touched] += dv * dv
+                    vectors[touched] -= rate * dv / np.sqrt(gv[touched])
+        penalty[weights != 0] = 0
     return machine
 
 
@@ -142,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, learns, max_rows: int = MAX_ROWS,
     import numpy as np
 
     got = sorted(rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, terms binary, label int").collect(), key=lambda r: (r["_id"], bytes(r["terms"])))
-    return fit([np.frombuffer(r["terms"], "<i4").astype(np.int64) for r in got], [int(r["label"] > 0) for r in got])
+    return fit([np.frombuffer(r["terms"], "<i4") for r in got], [int(r["label"] > 0) for r in got])
 
 
 def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -364,6 +364,16 @@ def test_machine_learns_pairs_that_weights_cannot():
     assert right > 0.9
 
 
+def test_toxicity_learns_pairs(spark):
+    rng, rows, marks = random.Random(8), [], []
+    for i in range(1500):
+        insult, group = rng.random() < 0.5, rng.random() < 0.5
+        rows.append((i, " ".join([f"n{rng.randrange(200)}" for _ in range(20)] + ["vile" if insult else "mild", "clan" if group else "tree"])))
+        marks.append((i, int(insult == group)))  # each word alone is as common in both
+    got = toxicity.toxicity(documents(spark, rows), spark.createDataFrame(marks, "doc_id long, toxic int")).where("held_out").collect()
+    assert sum(r["predicted"] == dict(marks)[r["doc_id"]] for r in got) / len(got) > 0.95
+
+
 def test_toxicity_edges(spark, edge_rows, empty):
     labels = spark.createDataFrame([(i, i % 2, "clash") for i in range(4, 10)] + [(None, 1, ""), (100, None, ""), (101, 1, ""), (101, 0, "")], "doc_id long, toxic int, text string")
     got = toxicity.toxicity(documents(spark, edge_rows), labels).collect()
