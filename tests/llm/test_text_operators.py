@@ -317,6 +317,26 @@ def test_weak_parts_need_their_complement():
     assert spans("login: bob\ntoken = abcdefgh\nhttps://db.example/x\n") == "assign:11:27|weak_id:0:10,endpoint:28:48"
 
 
+def test_weak_parts_of_compound_names():
+    def reported(text):
+        strong = secrets.strong_spans(text)
+        return [(secrets.KINDS[k], text[s:e]) for s, k, e in sorted(strong + secrets.weak_spans(text, strong))]
+
+    key = "AKIA" + "ABCD" * 4
+    secret = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"
+    for name in ("AWS_SECRET_ACCESS_KEY=", "secret_key: ", 'secretAccessKey": "', "aws.secret-access-key = ", "SECRET_KEY_PROD="):
+        assert reported(f"AWS_ACCESS_KEY_ID={key}\n{name}{secret}\n") == [("access", key), ("weak_secret", name + secret)]
+    env = ["DB_USER=admin", "DB_PASS=hunter2", "DB_HOST=db.example.com"]
+    assert reported("\n".join(env)) == list(zip(("weak_id", "weak_secret", "endpoint"), env))
+    camel = ["dbUser: admin", "dbPass: hunter2", "dbHostName: db.example.com"]
+    assert reported("\n".join(camel)) == list(zip(("weak_id", "weak_secret", "endpoint"), camel))
+    assert reported("\n\n".join(env)) == reported("secret_key: abcdEFGH12") == []
+    assert reported("MY_CLIENT_ID=abc9\nSIGNING_KEY_2=abcd1") == [("weak_id", "MY_CLIENT_ID=abc9"), ("weak_secret", "SIGNING_KEY_2=abcd1")]
+    assert reported("login: bob\nmonkey: banana\ncompass = north\npass_rate: 0.95\n") == []
+    assert reported("--user=bob --pass=hunter2") == [("weak_id", "user=bob"), ("weak_secret", "pass=hunter2")]
+    assert reported("note: user=bob pin=1234\nbase_url: https://a.b/c http://d.e/f") == [("weak_id", "user=bob"), ("weak_secret", "pin=1234"), ("endpoint", "base_url: https://a.b/c"), ("endpoint", "http://d.e/f")]
+
+
 def test_secrets_empty_table(empty):
     assert secrets.scan(empty).count() == 0
 
