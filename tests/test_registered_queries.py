@@ -45,6 +45,13 @@ def test_query_runs(spark, name):
     assert len(frame.take(1)) == (0 if name == "lineage_conflicts" and frame.isEmpty() else 1)
 
 
+def test_matches_and_audit_cover_every_part(spark):
+    parts = {f"c:{r['p_partkey']}" for r in spark.read.parquet(f"{FOLDER}/part.parquet").select("p_partkey").collect()}
+    found = catalog.QUERIES["match_cascade"](spark, FOLDER).collect()
+    assert len(found) == len(parts) and {r["item_key"] for r in found} == parts
+    assert sum(r["n"] for r in catalog.QUERIES["audit_buckets"](spark, FOLDER).collect()) == len(parts)
+
+
 def test_entry_and_registry(spark):
     import __spark_entry__ as entry
 
