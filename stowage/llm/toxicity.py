@@ -21,7 +21,6 @@ from stowage.llm.decontam import TO_WORDS
 BITS = 20
 MIN_DOCS = 4
 MAX_ROWS = 16_000  # of the fitting sample
-MAX_TERMS = 4_000  # of a text in the fitting sample; scoring takes all terms
 FACTORS = 4
 STEPS = 1500
 FIRST_STEPS = 1000  # of the weights alone
@@ -144,10 +143,7 @@ def learn(docs: DataFrame, labels: DataFrame, learns, max_rows: int = MAX_ROWS,
 
     def run(batches):
         for batch in slices(batches, 256):
-            found = []
-            for t in batch.column("_text").to_pylist():
-                terms = terms_of(t)
-                found.append(terms[:: -(-len(terms) // MAX_TERMS) or 1].astype("<i4").tobytes())
+            found = [terms_of(t).astype("<i4").tobytes() for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.binary()), batch.column("_label")], ["_id", "terms", "label"])
 
     import numpy as np

@@ -394,6 +394,14 @@ def test_toxicity_learns_pairs(spark):
     assert sum(r["predicted"] == dict(marks)[r["doc_id"]] for r in got) / len(got) > 0.95
 
 
+def test_toxicity_learns_from_all_terms_of_long_texts(spark):
+    words = [f"w{i}" for i in range(9000)]
+    docs = documents(spark, [(i, " ".join(words + (["idiot"] if i % 2 else []))) for i in range(8)])
+    machine = toxicity.learn(docs, spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, toxic int"), lambda c: F.lit(True))
+    whole = toxicity.terms_of(" ".join([*words, "idiot"]).encode())
+    assert set(machine.terms.tolist()) == set(whole.tolist())
+
+
 def test_toxicity_edges(spark, edge_rows, empty):
     labels = spark.createDataFrame([(i, i % 2, "clash") for i in range(4, 10)] + [(None, 1, ""), (100, None, ""), (101, 1, ""), (101, 0, "")], "doc_id long, toxic int, text string")
     got = toxicity.toxicity(documents(spark, edge_rows), labels).collect()
