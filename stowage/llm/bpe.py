@@ -1,12 +1,15 @@
 """Byte-level BPE as a bounded-lookahead streaming transducer, and decoding as an incremental byte-to-text machine.
 
 For every prefix of a pretoken, the last token of that prefix's encoding is unique: it is the one token that ends
-there and may follow the last token of the prefix before it. The transducer keeps that last token per position.
-Whatever follows, the encoding of a longer prefix runs through one of the last ``longest`` positions, so tokens that
-all of these agree on are stable and leave the buffer. ``lookahead`` bounds from the merge list how far back a later
-merge can still change a boundary, and thereby the buffer.
-
-Texts are read in chunks cut between pretokens; a text of any length needs one chunk, one buffer and the hash states.
+there and may follow the last token of the prefix before it. The transducer keeps that last token per position; an
+automaton over the vocabulary names the tokens that end at a byte, longest first. Whatever follows, the encoding of a
+longer prefix runs through one of the last ``longest`` positions, so tokens that all of these agree on are stable and
+leave the buffer. ``lookahead`` bounds from the merge list how far back a later merge can still change a boundary, and
+thereby the buffer. A pretoken's end makes all of its tokens stable.
+
+Texts are read in chunks cut between pretokens, and a pretoken longer than a chunk goes through the transducer slice by
+slice; a text of any length needs one chunk, one buffer and the hash states. Short pretokens that a worker has met
+before are looked up in a table of bounded bytes instead.
 """
 
 from __future__ import annotations
@@ -24,9 +27,10 @@ from pyspark.sql import functions as F
 from stowage.llm.common import slices, worker_state
 
 CHUNK = 1 << 16
-CACHED_PIECES = 500_000  # in each of two generations
-CACHED_PAIRS = 500_000
+CACHED_BYTES = 32 << 20  # of pretokens and their ids, in each of two generations
+CACHED_PAIRS = 200_000
 CACHED_LENGTH = 64
+ENTRY_BYTES = 190  # of a cached pretoken beside its characters and ids: two objects and its share of the table
 
 #: The pretoken pattern of the vocabulary family: letters, numbers, contractions, other marks, white space.
 PRETOKENS = r" ?[<L>]+| ?[<N>]+|'(?:[stmd]|re|ve|ll)| ?[^<S><L><N>]+|[<S>]+(?![^<S>])|[<S>]+"
@@ -84,18 +88,7 @@ class Transducer:
                 self.rank.setdefault(whole, r)
         self.longest = max(len(self.bytes_of[i]) for i in self.rank)
         self.lookahead = self._lookahead()
-        # Tokens by their bytes from the last to the first.
-        self.step: dict[int, int] = {}
-        self.token_at: list[int] = [-1]
-        for i in self.rank:
-            node = 0
-            for b in reversed(self.bytes_of[i]):
-                key = node << 8 | b
-                if key not in self.step:
-                    self.step[key] = len(self.token_at)
-                    self.token_at.append(-1)
-                node = self.step[key]
-            self.token_at[node] = i
+        self._automaton()
         self.size = {i: len(b) for i, b in self.bytes_of.items()}
         self.pairs: dict[int, bool] = {}
         self.cache = _Pieces(self)
@@ -145,90 +138,68 @@ class Transducer:
             else:
                 bound, b = rb + 1, parts[b][0]
 
-    def encode_short(self, piece: bytes) -> list[int]:
-        """``encode_piece`` for a pretoken shorter than the buffer: nothing leaves it before the end."""
-        step, token_at, size, pairs, may_follow = self.step, self.token_at, self.size, self.pairs, self.may_follow
-        last = [-1]
-        for end in range(1, len(piece) + 1):
-            node, found = 0, []
-            for b in piece[end - 1 :: -1]:
-                node = step.get(node << 8 | b)
-                if node is None:
-                    break
-                if (token := token_at[node]) >= 0:
-                    found.append(token)
-            for token in reversed(found):
-                previous = last[end - size[token]]
-                if previous < 0 or ((known := pairs.get(previous << 20 | token)) is None and may_follow(previous, token)) or known:
-                    last.append(token)
-                    break
-        return self._path(last, len(piece))
-
-    def encode_piece(self, piece: bytes) -> Iterator[int]:
-        """Tokens of one pretoken, each as soon as nothing that follows can change it."""
-        step, token_at, size, may_follow = self.step, self.token_at, self.size, self.may_follow
-        base, last, check = 0, [-1], self.lookahead + self.longest  # last[i]: last token of the prefix that ends at base + i
-        for end in range(1, len(piece) + 1):
-            node, at, found = 0, end, []
-            while at > base:
-                at -= 1
-                node = step.get(node << 8 | piece[at])
-                if node is None:
-                    break
-                if token_at[node] >= 0:
-                    found.append(token_at[node])
-            for token in reversed(found):
-                before = end - size[token]
-                previous = last[before - base]
-                if previous < 0 or may_follow(previous, token):
-                    last.append(token)
-                    break
-            if end - base >= check:
-                stable = self._agreed(last)
-                if stable:
-                    yield from self._path(last, stable)
-                    # The token before the base still decides what may follow it.
-                    base, last = base + stable, last[stable:]
-                    if end - base < self.lookahead:
-                        check = self.lookahead + self.longest
-                else:
-                    check = 2 * (end - base)
-        yield from self._path(last, len(last) - 1)
-
-    def _agreed(self, last: list[int]) -> int:
-        """The latest position through which the encodings of all recent prefixes run; 0 if none but the base."""
-        at = set(range(max(0, len(last) - self.longest), len(last)))
-        while len(at) > 1:
-            far = max(at)
-            at.discard(far)
-            at.add(max(0, far - self.size[last[far]]))
-        return at.pop()
-
-    def _path(self, last: list[int], end: int) -> list[int]:
-        out = []
-        while end > 0:
-            out.append(last[end])
-            end -= self.size[last[end]]
-        return out[::-1]
-
-    def pieces(self, text: str) -> Iterator[list[str]]:
-        """Pretokens, chunk by chunk. The last two of a chunk wait for the next, as more text may change them."""
-        at, n, length = 0, len(text), CHUNK
+    def _automaton(self) -> None:
+        """Tries to extend the longest run of last bytes that begins some token; each state knows the longest token
+        that ends there, and each token the next shorter one that ends where it does."""
+        self.step: dict[int, int] = {}  # state << 8 | byte: the state after it
+        own, children = [-1], [[]]
+        for i in self.rank:
+            node = 0
+            for b in self.bytes_of[i]:
+                following = self.step.get(node << 8 | b)
+                if following is None:
+                    following = self.step[node << 8 | b] = len(own)
+                    own.append(-1)
+                    children.append([])
+                    children[node].append((b, following))
+                node = following
+            own[node] = i
+        self.shorter: dict[int, int] = {}
+        self.back, self.ending = [0] * len(own), own  # own becomes, level by level, the longest token that ends there
+        level = [0]
+        while level:
+            below = []
+            for node in level:
+                for b, child in children[node]:
+                    at = self.back[node]
+                    while (to := self.step.get(at << 8 | b)) is None and at:
+                        at = self.back[at]
+                    self.back[child] = to if to is not None and to != child else 0
+                    if own[child] >= 0:
+                        self.shorter[own[child]] = own[self.back[child]]
+                    else:
+                        own[child] = own[self.back[child]]
+                    below.append(child)
+            level = below
+
+    def encode_piece(self, piece: bytes) -> list[int]:
+        """Tokens of one pretoken that is at hand as a whole."""
+        stream = Stream(self)
+        return stream.push(piece) + stream.finish()
+
+    def pieces(self, text: str) -> Iterator[list[str] | tuple[int, int]]:
+        """Lists of pretokens, chunk by chunk; start and end of one that is about as long as a chunk or longer.
+
+        The last two of a chunk wait for the next, as more text may change them.
+        """
+        at, n = 0, len(text)
         try:
             text.encode("latin-1")
-            findall = self.pretokens_latin.findall
+            pattern = self.pretokens_latin
         except UnicodeEncodeError:
-            findall = self.pretokens.findall
+            pattern = self.pretokens
         while at < n:
-            end = min(n, at + length)
-            got = findall(text, at, end)
+            end = min(n, at + CHUNK)
+            got = pattern.findall(text, at, end)
             if end < n:
                 if len(got) <= 2:
-                    length *= 2
+                    end = pattern.match(text, at).end()
+                    yield at, end
+                    at = end
                     continue
                 del got[-2:]
             yield got
-            at, length = at + sum(map(len, got)), CHUNK
+            at += sum(map(len, got))
 
     def encode(self, text: str) -> Iterator[bytes]:
         """Ids as little-endian unsigned 32-bit integers, in blocks."""
@@ -236,9 +207,15 @@ class Transducer:
         for part in self.special_split.split(text) if self.special_split and any(s in text for s in self.special) else [text]:
             if part in self.special:
                 yield struct.pack("<I", self.special[part])
-            else:
-                for got in self.pieces(part):
+                continue
+            for got in self.pieces(part):
+                if isinstance(got, list):
                     yield b"".join(map(lookup, got))
+                    continue
+                stream = Stream(self)
+                for at in range(*got, CHUNK):
+                    yield packed(stream.push(part[at : min(at + CHUNK, got[1])].encode()))
+                yield packed(stream.finish())
 
     def decode(self, blocks: Iterator[bytes]) -> Iterator[str]:
         """Text of blocks of ids; bytes of a character that is not complete wait for the next block."""
@@ -248,24 +225,86 @@ class Transducer:
         yield machine.decode(b"", True)
 
 
+class Stream:
+    """One pretoken's way through the transducer: bytes go in, tokens come out once nothing that follows can change them."""
+
+    def __init__(self, owner: Transducer):
+        self.owner, self.state = owner, 0
+        self.last = [-1]  # the last token of each prefix from the latest stable position on
+        self.check = owner.lookahead + owner.longest
+
+    def push(self, data: bytes) -> list[int]:
+        """The tokens that have become stable."""
+        owner, last, state, out = self.owner, self.last, self.state, []
+        step, back, ending, shorter, size, pairs = owner.step, owner.back, owner.ending, owner.shorter, owner.size, owner.pairs
+        for b in data:
+            while (to := step.get(state << 8 | b)) is None:
+                state = back[state]
+            state, end = to, len(last)
+            token = ending[state]
+            while True:
+                before = end - size[token]
+                if before >= 0:  # tokens do not reach back beyond a stable position
+                    previous = last[before]
+                    if previous < 0:
+                        break
+                    known = pairs.get(previous << 20 | token)
+                    if known or (known is None and owner.may_follow(previous, token)):
+                        break
+                token = shorter[token]
+            last.append(token)
+            if end >= self.check:
+                stable = self._agreed()
+                out += self._path(stable)
+                del last[:stable]  # the token before the position still decides what may follow it
+                self.check = owner.lookahead + owner.longest if stable else 2 * end
+        self.state = state
+        return out
+
+    def finish(self) -> list[int]:
+        """The rest, at the pretoken's end."""
+        return self._path(len(self.last) - 1)
+
+    def _agreed(self) -> int:
+        """The latest position through which the encodings of all recent prefixes run; 0 if none but the first."""
+        last, size = self.last, self.owner.size
+        at = set(range(max(0, len(last) - self.owner.longest), len(last)))
+        while len(at) > 1:
+            far = max(at)
+            at.discard(far)
+            at.add(max(0, far - size[last[far]]))
+        return at.pop()
+
+    def _path(self, end: int) -> list[int]:
+        out = []
+        while end > 0:
+            out.append(self.last[end])
+            end -= self.owner.size[self.last[end]]
+        return out[::-1]
+
+
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Pieces(dict):
-    """Encoded pretokens, without those that are long: this generation and the one before it, both bounded."""
+    """Encoded pretokens, without those that are long: this generation and the one before it, both of bounded bytes."""
 
     def __init__(self, owner: Transducer):
-        self.owner, self.before = owner, {}
+        self.owner, self.before, self.held = owner, {}, 0
 
     def __missing__(self, piece: str) -> bytes:
-        packed = self.before.get(piece)
-        if packed is None:
-            raw = piece.encode()
-            ids = self.owner.encode_short(raw) if len(raw) < self.owner.lookahead else list(self.owner.encode_piece(raw))
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = packed(self.owner.encode_piece(piece.encode()))
         if len(piece) <= CACHED_LENGTH:
-            if len(self) >= CACHED_PIECES:
-                self.before = dict(self)
+            size = ENTRY_BYTES + 2 * len(piece) + len(ids)
+            if self.held + size > CACHED_BYTES:
+                self.before, self.held = dict(self), 0
                 self.clear()
-            self[piece] = packed
-        return packed
+            self.held += size
+            self[piece] = ids
+        return ids
 
 
 def transducer(definition: str) -> Transducer:

@@ -69,11 +69,33 @@ def test_bpe_on_random_texts_in_small_chunks(monkeypatch):
 
 def test_bpe_buffer_stays_small_on_endless_pretokens():
     lib, machine = library(), bpe.Transducer(open(bpe.default_path()).read())
-    text = "abcdefgh" * 5000
-    held, agreed = [], machine._agreed
-    machine._agreed = lambda last: held.append(len(last)) or agreed(last)
-    assert list(machine.encode_piece(text.encode())) == lib.encode(text, add_special_tokens=False).ids
-    assert max(held) <= 4 * (machine.lookahead + machine.longest)
+    text = "abcdefgh" * 5000 + " x" + "é" * 3000
+    bound, stream, ids, most = 4 * (machine.lookahead + machine.longest), bpe.Stream(machine), [], 0
+    for at in range(0, 40_000, 100):
+        ids += stream.push(text[at : at + 100].encode())
+        most = max(most, len(stream.last))
+    assert most <= bound and len(ids) > 4000
+    assert ids + stream.finish() == lib.encode(text[:40_000], add_special_tokens=False).ids
+    blocks = list(machine.encode(text * 4))
+    assert list(memoryview(b"".join(blocks)).cast("I")) == lib.encode(text * 4, add_special_tokens=False).ids
+
+
+def test_bpe_pretokens_longer_than_a_chunk_leave_in_blocks(monkeypatch):
+    lib, machine = library(), bpe.Transducer(open(bpe.default_path()).read())
+    monkeypatch.setattr(bpe, "CHUNK", 1000)
+    for text in ("ab" * 9000 + "'ll go", "日本" * 4000 + "x", " " * 5001 + "x", "\n" * 5000, "-" * 4000 + " 12" * 2000):
+        blocks = list(machine.encode(text))
+        assert list(memoryview(b"".join(blocks)).cast("I")) == lib.encode(text, add_special_tokens=False).ids
+    assert max(map(len, machine.encode("ab" * 9000))) <= 4 * (1000 + 2 * (machine.lookahead + machine.longest))
+
+
+def test_bpe_table_of_pretokens_keeps_to_its_bytes(monkeypatch):
+    machine = bpe.Transducer(open(bpe.default_path()).read())
+    monkeypatch.setattr(bpe, "CACHED_BYTES", 20_000)
+    for i in range(3000):
+        b"".join(machine.encode(f"w{i} x{i}"))
+    size = lambda d: sum(bpe.ENTRY_BYTES + 2 * len(k) + len(v) for k, v in d.items())
+    assert size(machine.cache) <= 20_000 and size(machine.cache.before) <= 20_000 and len(machine.cache.before) > 50
 
 
 def test_bpe_empty_table(empty):
