@@ -1,17 +1,20 @@
 """WARC archives with payload dedup, and an index built by external merging of sorted capture runs.
 
-Writers put each record into a gzip member of a segment file in a shared folder and return the segment's captures as
-a run sorted by URL key and timestamp. The runs are dealt out by ranges of (URL key, timestamp, id), so a host of any
-weight spreads over ranges; in each range a loser tree merges what the runs have there, and ranges in order make one
-globally ordered capture history. Reading goes through the segments member by member, checks digests, and joins the
-captures by file and offset.
-
-Segments are written under another name first and moved when whole, with the attempt in their name: what a lost
-executor leaves behind is in no run.
+Writers put each record into a gzip member of a segment file in a shared folder. Captures are sorted by URL key and
+timestamp, ``RUN_ROWS`` at a time, and written beside the segments as runs: blocks of ``BLOCK_ROWS`` sorted rows, each
+with its first and last key in a sparse index. While there are more than ``FAN_IN`` runs, a pass merges them in groups
+into longer ones; the last pass merges all. The tasks of a pass are (group, range of keys): each reads only the blocks
+that reach into its range, one block of each run at a time, so that a loser tree over ``FAN_IN`` buffers is all that it
+holds, and a host of any weight spreads over ranges. Ranges in order make one globally ordered capture history. Reading
+goes through the segments member by member, checks digests, and joins the captures by file and offset.
+
+Files are written under another name first and moved when whole, with the attempt in their name: what a lost executor
+leaves behind is in no index.
 """
 
 from __future__ import annotations
 
+import bisect
 import datetime
 import hashlib
 import uuid
@@ -22,11 +25,15 @@ from urllib.parse import urlsplit
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import cut, shared_dir, shuffle_partitions, slices
+from stowage.llm.common import cut, remove, shared_dir, shuffle_partitions, slices, small_batches
 
 SEGMENT = 64 << 20
 LEAST_REVISIT = 1000  # bytes of a payload that is worth a revisit record
 BLOCK = 1 << 20
+RUN_ROWS = 50_000  # captures that a writer sorts at one time
+BLOCK_ROWS = 1024  # captures of a run's block: what a merge holds of each run
+FAN_IN = 128  # runs that a task merges
+LEAST_RANGE, MOST_RANGE = 2048, 1_000_000  # captures of a task's range
 FIRST = datetime.datetime(2020, 1, 1)
 
 
@@ -138,13 +145,81 @@ def decisions(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     return ids.join(largest, "payload_digest").where("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
 
 
-RUN_SCHEMA = "url_key string, captured string, page_id long, run string, offset long, length long"
+#: A capture, as a tuple that sorts by URL key, timestamp and id (null first), then place.
+Capture = tuple[str, str, bool, int, str, int, int]
+CAPTURE = "url_key string, captured string, page_id long, segment string, offset long, length long"
+KEY = "struct<url_key:string,captured:string,has_id:boolean,id:long>"
+BLOCKS = f"run long, file string, at long, bytes long, captures long, first {KEY}, last {KEY}"
+
+
+def captures_batch(rows: list[Capture]):
+    import pyarrow as pa
+
+    columns = zip(*((k, c, i if has else None, s, o, n) for k, c, has, i, s, o, n in rows))
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], [c.split()[0] for c in CAPTURE.split(", ")])
+
+
+def captures_of(batch) -> list[Capture]:
+    return [(k, c, i is not None, i or 0, s, o, n) for k, c, i, s, o, n in zip(*(batch.column(j).to_pylist() for j in range(6)))]
+
+
+def described(blocks: list[tuple]):
+    import pyarrow as pa
+
+    key = lambda k: dict(zip(("url_key", "captured", "has_id", "id"), k))
+    kind = pa.struct([("url_key", pa.string()), ("captured", pa.string()), ("has_id", pa.bool_()), ("id", pa.int64())])
+    columns = list(zip(*blocks))
+    return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.string()), *(pa.array(c, pa.int64()) for c in columns[2:5]), *(pa.array(map(key, c), kind) for c in columns[5:])], ["run", "file", "at", "bytes", "captures", "first", "last"])
+
+
+class RunWriter:
+    """Writes sorted captures to a file as compressed blocks; ``blocks`` describes them once it is closed."""
+
+    def __init__(self, store, folder: str, name: str, run: int):
+        self.store, self.path, self.name, self.run = store, f"{folder}/{name}", name, run
+        self.stream, self.waiting, self.blocks, self.at = store.open_output_stream(f"{self.path}.part", compression=None), [], [], 0
+
+    def add(self, capture: Capture) -> None:
+        self.waiting.append(capture)
+        if len(self.waiting) >= BLOCK_ROWS:
+            self._write()
+
+    def _write(self) -> None:
+        import pyarrow as pa
+
+        batch, sink = captures_batch(self.waiting), pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_batch(batch)
+        data = sink.getvalue()
+        self.stream.write(data)
+        self.blocks.append((self.run, self.name, self.at, data.size, len(self.waiting), self.waiting[0][:4], self.waiting[-1][:4]))
+        self.at, self.waiting = self.at + data.size, []
+
+    def close(self) -> list[tuple]:
+        if self.waiting:
+            self._write()
+        self.stream.close()
+        self.store.move(f"{self.path}.part", self.path)
+        return self.blocks
+
+
+def read_blocks(store, folder: str, blocks: list[tuple[str, int, int]], low: tuple | None, high: tuple | None) -> Iterator[Capture]:
+    """The captures of a run's blocks (file, at, bytes), in order, with low <= key < high; one block is held at a time."""
+    import pyarrow as pa
+
+    for file, at, size in blocks:
+        with store.open_input_file(f"{folder}/{file}") as stream:
+            data = stream.read_at(size, at)
+        for batch in pa.ipc.open_stream(data):
+            for c in captures_of(batch):
+                if (low is None or c[:4] >= low) and (high is None or c[:4] < high):
+                    yield c
 
 
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> DataFrame:
-    """Writes pages (page_id, url, html) to segments under ``folder``; returns the sorted capture runs.
+    """Writes pages (page_id, url, html) to segments, and their captures to sorted runs, under ``folder``.
 
-    A null html is an empty payload; null URLs have the key ``-)/``.
+    Returns the runs' sparse index (``BLOCKS``). A null html is an empty payload; null URLs have the key ``-)/``.
     """
     import pyarrow as pa
     import pyarrow.fs as pafs
@@ -152,72 +227,142 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("payload_digest"))
     rows = rows.join(decisions(pages, least), ["page_id", "payload_digest"], "left")
-    names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own = f"{TaskContext.get().partitionId():06d}-{TaskContext.get().taskAttemptId()}"
+        part = TaskContext.get().partitionId()
+        own = f"{part:06d}-{TaskContext.get().taskAttemptId()}"
         store, path = pafs.FileSystem.from_uri(folder)
         store.create_dir(path, recursive=True)
-        stream, captures, at, segment = None, [], 0, 0
+        stream, captures, at, segment, runs = None, [], 0, 0, 0
+
+        def sorted_run() -> pa.RecordBatch:
+            nonlocal captures, runs
+            writer, runs = RunWriter(store, path, f"{own}-{runs:04d}.run", part << 24 | runs), runs + 1
+            for capture in sorted(captures):
+                writer.add(capture)
+            captures = []
+            return described(writer.close())
 
-        def finished() -> pa.RecordBatch:
+        def whole_segment() -> None:
             stream.close()
             store.move(f"{path}/{name}.part", f"{path}/{name}")
-            captures.sort(key=lambda c: (c[0], c[1], -1 if c[2] is None else c[2]))
-            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*captures), (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names)
 
         for batch in slices(batches, 256):
             for page_id, digest, url, payload, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "payload_digest", "url", "payload", "refers_to"))):
                 if stream is None:
-                    name, captures, at = f"{own}-{segment:04d}.warc.gz", [], 0
+                    name, at = f"{own}-{segment:04d}.warc.gz", 0
                     stream = store.open_output_stream(f"{path}/{name}.part", compression=None)
                 data = record(page_id, url, payload, digest, refers_to)
                 stream.write(data)
-                captures.append((url_key(url), stamp(page_id), page_id, name, at, len(data)))
+                captures.append((url_key(url), stamp(page_id), page_id is not None, page_id or 0, name, at, len(data)))
                 at += len(data)
                 if at >= SEGMENT:
-                    yield finished()
+                    whole_segment()
                     stream, segment = None, segment + 1
+                if len(captures) >= RUN_ROWS:
+                    yield sorted_run()
         if stream is not None:
-            yield finished()
+            whole_segment()
+        if captures:
+            yield sorted_run()
+
+    return rows.mapInArrow(run, BLOCKS)
+
 
-    return rows.mapInArrow(run, RUN_SCHEMA)
+def boundaries(blocks: DataFrame, ranges: int) -> list[tuple]:
+    """``ranges - 1`` keys that cut the captures into about equal parts, from a bounded sample of blocks' first keys."""
+    span, n = 1 << 30, blocks.count()
+    share = min(span, span * 20 * ranges // max(n, 1))
+    found = blocks.where(F.pmod(F.xxhash64("file", "at", F.lit(13)), F.lit(span)) < share).select("first.*", F.col("captures")).collect()
+    keys = sorted((tuple(r)[:4], r["captures"]) for r in found)
+    total, cuts, held = sum(n for _, n in keys), [], 0
+    for key, n in keys:
+        if held >= total * (len(cuts) + 1) / ranges and len(cuts) < ranges - 1 and (not cuts or cuts[-1] < key):
+            cuts.append(key)
+        held += n
+    return cuts
 
 
-def merge_runs(runs: DataFrame) -> DataFrame:
-    """The captures in global order: by ``range``, then ``place``. Ties go by id (null first), then run."""
+def merge_pass(blocks: DataFrame, folder: str, groups: int, captures: int, last: bool) -> DataFrame:
+    """Merges the runs of each of ``groups`` groups: into runs again, or (``last``) to captures with ``range`` and ``place``."""
     import pyarrow as pa
+    import pyarrow.fs as pafs
 
-    dealt = runs.repartitionByRange(shuffle_partitions(runs.sparkSession), "url_key", "captured", "page_id")
-    kinds = (pa.string(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64())
+    spark = blocks.sparkSession
+    ranges = max(1, min(-(-captures // LEAST_RANGE), max(-(-shuffle_partitions(spark) // groups), -(-captures // (groups * MOST_RANGE)))))
+    cuts = boundaries(blocks, ranges) if ranges > 1 else []
+    shared = spark.sparkContext.broadcast(cuts)  # a key for each task
+    key = lambda c: F.struct(f"{c}.url_key", f"{c}.captured", f"{c}.has_id", f"{c}.id")
+    group = F.lit(0).cast("long") if groups == 1 else F.pmod(F.xxhash64("run"), F.lit(groups))
 
-    def merge(batches) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    def place(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reach = [[bisect.bisect_right(shared.value, tuple(k.values())) for k in batch.column(c).to_pylist()] for c in ("first", "last")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("group", "run", "file", "at", "bytes", "first")), *(pa.array(r, pa.int32()) for r in reach)], ["group", "run", "file", "at", "bytes", "first", "lo", "hi"])
+
+    placed = blocks.select(group.alias("group"), "run", "file", "at", "bytes", key("first").alias("first"), key("last").alias("last")).mapInArrow(place, f"group long, run long, file string, at long, bytes long, first {KEY}, lo int, hi int")
+    dealt = placed.select("group", F.explode(F.sequence("lo", "hi")).alias("range"), "run", "file", "at", "bytes", "first").withColumn("task", F.col("group") * (len(cuts) + 1) + F.col("range"))
+    dealt = dealt.repartition(max(1, min(groups * (len(cuts) + 1), 100_000)), "task").sortWithinPartitions("task", "run", "first", "file", "at")
 
-        part, held = TaskContext.get().partitionId(), {}
+    def tasks(batches) -> Iterator[tuple[int, int, dict]]:
+        """(group, range, blocks by run) one after the other."""
+        now, runs = None, {}
         for batch in batches:
-            for key, captured, page_id, run, offset, length in zip(*(batch.column(i).to_pylist() for i in range(6))):
-                held.setdefault(run, []).append((key, captured, (page_id is not None, page_id or 0), run, offset, length))
-        # A run keeps its order unless its rows came in several blocks; sorting what is sorted costs one look at each.
-        tree, out, place = LoserTree([iter(sorted(r)) for r in held.values()]), [], 0
-
-        def packed() -> pa.RecordBatch:
-            columns = list(zip(*((k, c, p[1] if p[0] else None, r, o, n) for k, c, p, r, o, n in out)))
-            first = place - len(out)
-            return pa.RecordBatch.from_arrays([*(pa.array(x, kind) for x, kind in zip(columns, kinds)), pa.array([part] * len(out), pa.int32()), pa.array(range(first, place), pa.int64())], [c.split()[0] for c in RUN_SCHEMA.split(", ")] + ["range", "place"])
-
-        for capture in tree:
-            out.append(capture)
-            place += 1
-            if len(out) == 4096:
-                yield packed()
-                out = []
-        if out:
-            yield packed()
+            for g, r, run, file, at, size in zip(*(batch.column(c).to_pylist() for c in ("group", "range", "run", "file", "at", "bytes"))):
+                if now is not None and now != (g, r):
+                    yield *now, runs
+                    runs = {}
+                now = g, r
+                runs.setdefault(run, []).append((file, at, size))
+        if now is not None:
+            yield *now, runs
 
-    return dealt.mapInArrow(merge, RUN_SCHEMA + ", range int, place long")
+    def merge(batches) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        store, path = pafs.FileSystem.from_uri(folder)
+        for g, r, runs in tasks(batches):
+            low, high = cuts_at(r - 1), cuts_at(r)
+            tree = LoserTree([read_blocks(store, path, b, low, high) for b in runs.values()])
+            if not last:
+                writer = RunWriter(store, path, f"merged-{uuid.uuid4().hex}-{TaskContext.get().taskAttemptId()}.run", g)
+                for capture in tree:
+                    writer.add(capture)
+                if found := writer.close():
+                    yield described(found)
+                continue
+            out, at = [], 0
+            for capture in tree:
+                out.append(capture)
+                if len(out) == 4 * BLOCK_ROWS:
+                    yield ranked(out, r, at)
+                    out, at = [], at + len(out)
+            if out:
+                yield ranked(out, r, at)
+
+    def cuts_at(i: int) -> tuple | None:
+        return shared.value[i] if 0 <= i < len(shared.value) else None
+
+    def ranked(rows: list[Capture], r: int, at: int) -> pa.RecordBatch:
+        batch = captures_batch(rows)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array([r] * len(rows), pa.int32()), pa.array(range(at, at + len(rows)), pa.int64())], [*batch.schema.names, "range", "place"])
+
+    return dealt.mapInArrow(merge, CAPTURE + ", range int, place long" if last else BLOCKS)
+
+
+def merge_runs(blocks: DataFrame, folder: str) -> DataFrame:
+    """The captures in global order: by ``range``, then ``place``. Ties go by id (null first), then segment and offset.
+
+    ``blocks`` must be stable (written or checkpointed). A pass merges ``FAN_IN`` runs a group on average, so a task
+    holds that many blocks; each pass but the last writes its runs to ``folder``.
+    """
+    while True:
+        runs, captures = blocks.agg(F.count_distinct("run"), F.coalesce(F.sum("captures"), F.lit(0))).first()
+        if runs <= FAN_IN:
+            return merge_pass(blocks, folder, 1, captures, last=True)
+        blocks = cut(merge_pass(blocks, folder, -(-runs // FAN_IN), captures, last=False))
 
 
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
@@ -225,18 +370,19 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     import pyarrow as pa
     import pyarrow.fs as pafs
 
-    # A list of files looks small, but what is read from them is not: deal them out, and broadcast neither side.
-    files = index.select("run").distinct().repartition(shuffle_partitions(index.sparkSession), "run")
-    names = ["run", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    # A list of files looks small, but what is read from them is not: deal them out (by a key of its own, else the
+    # partitions of distinct serve, which are coalesced by their bytes), and broadcast neither side.
+    files = index.select("segment").distinct().repartition(shuffle_partitions(index.sparkSession), F.xxhash64("segment"))
+    names = ["segment", "offset", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         store, path = pafs.FileSystem.from_uri(folder)
         for batch in batches:
-            for name in batch.column("run").to_pylist():
+            for name in batch.column("segment").to_pylist():
                 out = []
                 with store.open_input_stream(f"{path}/{name}", compression=None) as stream:
                     for offset, _, content in members(stream):
-                        out.append({"run": name, "offset": offset} | parsed(content))
+                        out.append({"segment": name, "offset": offset} | parsed(content))
                         if len(out) == 4096:
                             yield packed(out)
                             out = []
@@ -247,14 +393,24 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], kind) for n, kind in zip(names, kinds)], names)
 
-    records = files.mapInArrow(run, "run string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
-    return records.hint("merge").join(index.select("run", "offset", "range", "place"), ["run", "offset"]).drop("run", "offset")
+    records = files.mapInArrow(run, "segment string, offset long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return records.hint("merge").join(index.select("segment", "offset", "range", "place"), ["segment", "offset"]).drop("segment", "offset")
 
 
-def archive_round_trip(pages: DataFrame) -> DataFrame:
-    """Pages written, indexed and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, range, place."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc-{uuid.uuid4().hex}"
+def archive_round_trip(pages: DataFrame, keep: bool = False) -> DataFrame:
+    """Pages written, indexed and read back: page_id, payload_bytes, payload_digest, record_type, refers_to, range, place.
+
+    A row for each row of ``pages``, repeated ones and those of null id included; an empty table has no rows. The
+    archives lie in a new folder beside the checkpoints and go once they are read back, unless ``keep``.
+    """
+    spark = pages.sparkSession
+    small_batches(spark)
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     if ":" not in folder:
         folder = "file://" + folder
-    runs = cut(write_archives(pages, folder))
-    return read_archives(cut(merge_runs(runs)), folder)
+    index = cut(merge_runs(cut(write_archives(pages, folder)), folder))
+    if keep:
+        return read_archives(index, folder)
+    found = cut(read_archives(index, folder))
+    remove(spark, folder)
+    return found
