@@ -1,27 +1,32 @@
 """Benchmark decontamination by suffix arrays over shards of the training text.
 
 A task turns its documents into shards of word numbers (the benchmark's words; anything else is 0 and matches nothing)
-and builds each shard's suffix array over the suffixes that can still match, ordered by their first ``window`` words.
-Every test suffix is then binary-searched in it: its equal range holds every verbatim occurrence and location, and runs
-of matches along a diagonal give the longest match. Shards hold whole documents, so nothing is shuffled.
-
-The benchmark goes out in blocks of at most ``BLOCK_WORDS`` words; a larger one takes more passes over the documents.
+and builds each shard's suffix array over the suffixes that share their first words with some test suffix, ordered by
+their first ``window`` words. Every test suffix is then binary-searched in it, by its first ``window`` words and by
+each shorter beginning: an equal range holds every verbatim occurrence and location. Runs of whole windows along a
+diagonal give matches longer than a window; where there are none, the longest beginning with a range is the longest
+match. Shards hold whole documents, so nothing is shuffled.
+
+The benchmark is held in blocks of about ``BLOCK_WORDS`` words, ``RESIDENT`` of them at one time; a larger one takes
+more passes over the documents.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import slices, worker_state
+from stowage.llm.common import cut, slices, worker_state
 
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 500_000
+RESIDENT = 4  # blocks that a pass searches
 SHARD_WORDS = 500_000
 PIECE = 1 << 20
-BITS, PER_KEY = 21, 3  # of a word's number in a packed key
+BITS = 21  # of a word's number in a packed key, unless a block has more words
 
 #: Findings of a document, with their types and first values.
 FINDINGS = {"n_words": ("long", 0), "n_hit": ("long", 0), "hit": ("binary", None), "found": ("array<string>", []), "longest": ("long", 0), "longest_item": ("string", None), "longest_at": ("long", None)}
@@ -35,41 +40,72 @@ def words_of(text: bytes | None) -> list[bytes]:
 
 
 class Suffixes:
-    """The distinct windows of a block of benchmark items, as packed keys for binary search."""
+    """The suffixes of a block of benchmark items by their first ``window`` words, in order, and its windows.
+
+    ``shared`` is how many first words each suffix has in common with the one before it, so the distinct beginnings of n
+    words are those suffixes of n words or more that share fewer.
+    """
 
-    def __init__(self, items: list[tuple[str, bytes]], window: int):
+    def __init__(self, items: list[tuple[str, bytes]], window: int, bits: int = BITS):
         import numpy as np
 
         self.number: dict[bytes, int] = {}
         self.window, self.items = window, [i for i, _ in items]
-        windows: dict[tuple[int, ...], list[tuple[int, int]]] = {}
-        for at, (_, text) in enumerate(items):
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)]
-            for q in range(max(1, len(ids) - window + 1) if ids else 0):
-                windows.setdefault(tuple(ids[q : q + window]), []).append((at, q))
-        self.length = np.array([len(w) for w in windows], np.int64)
-        self.shortest = int(self.length.min()) if windows else 0
-        self.owners = [np.array(o, np.int64) for o in windows.values()]
-        padded = np.zeros((len(windows), window), np.uint64)
-        top = np.full((len(windows), window), (1 << BITS) - 1, np.uint64)
-        for i, w in enumerate(windows):
-            padded[i, : len(w)] = top[i, : len(w)] = w
-        self.low, self.high = packed(padded), packed(top)
-
-
-def packed(ids):
-    """Columns of keys whose order is the order of the rows' words."""
-    import numpy as np
+        ids = [np.array([self.number.setdefault(w, len(self.number) + 1) for w in words_of(text)], np.uint32) for _, text in items]
+        self.bits = max(bits, len(self.number).bit_length())
+        self.per_key = 63 // self.bits
+        n = np.array([len(i) for i in ids], np.int64)
+        flat = np.concatenate([*ids, np.zeros(window, np.uint32)])
+        item, place = np.repeat(np.arange(len(ids)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        size = np.minimum(np.repeat(n, n) - place, window)
+        words = np.stack([np.where(size > j, flat[j : j + len(item)], 0) for j in range(window)], 1) if len(item) else np.zeros((0, window), np.uint32)
+        order = np.lexsort(self.packed(words.astype(np.uint64))[::-1])
+        self.words, self.size, self.item, place = words[order], size[order], item[order], place[order]
+        differs = self.words[1:] != self.words[:-1]
+        self.shared = np.append(-1, np.where(differs.any(1), differs.argmax(1), window)) if len(order) else np.zeros(0, np.int64)
+        # Windows: full ones, and shorter items as a whole. Equal ones lie together, as whole items before other suffixes.
+        full = self.size == window
+        short = (place == 0) & (self.size < window)
+        own = np.flatnonzero(full | short)
+        new = np.ones(len(own), bool)
+        new[1:] = (self.words[own[1:]] != self.words[own[:-1]]).any(1)
+        first = np.flatnonzero(new)
+        self.length, self.owner_at = self.size[own[first]].astype(np.int64), np.append(first, len(own))
+        self.owner = np.stack([self.item[own], place[own]], 1)
+        self.low, self.high = self.bounds(own[first], self.length)
+        #: What a document's suffix must begin with to be in the array: the first words of long beginnings, short windows.
+        self.lead = lead = min(self.per_key, window)
+        self.starts = [(lead, np.sort(self.bounds(self.beginning(lead), lead)[0][0]))]
+        self.starts += [(k, np.sort(self.low[0][self.length == k])) for k in range(1, lead)]
+        self.starts = [(k, keys) for k, keys in self.starts if len(keys)]
+
+    def beginning(self, n: int):
+        """Suffixes that stand for the distinct beginnings of n words."""
+        import numpy as np
 
-    keys = []
-    for at in range(0, ids.shape[1], PER_KEY):
-        key = np.zeros(len(ids), np.uint64)
-        for j in range(PER_KEY):
-            key <<= np.uint64(BITS)
-            if at + j < ids.shape[1]:
-                key |= ids[:, at + j]
-        keys.append(key)
-    return keys
+        return np.flatnonzero((self.shared < n) & (self.size >= n))
+
+    def packed(self, ids):
+        """Columns of keys whose order is the order of the rows' words."""
+        import numpy as np
+
+        keys = []
+        for at in range(0, ids.shape[1], self.per_key):
+            key = np.zeros(len(ids), np.uint64)
+            for j in range(self.per_key):
+                key <<= np.uint64(self.bits)
+                if at + j < ids.shape[1]:
+                    key |= ids[:, at + j]
+            keys.append(key)
+        return keys
+
+    def bounds(self, rows, length):
+        """Least and largest keys of suffixes that begin with the first ``length`` words of these."""
+        import numpy as np
+
+        inside = np.arange(self.window)[None, :] < np.broadcast_to(length, len(rows))[:, None]
+        low = np.where(inside, self.words[rows], 0).astype(np.uint64)
+        return self.packed(low), self.packed(np.where(inside, low, np.uint64((1 << self.bits) - 1)))
 
 
 def boundary(keys, wanted, after: bool):
@@ -89,37 +125,89 @@ def boundary(keys, wanted, after: bool):
     return lo
 
 
-def search(shard, suffixes: Suffixes):
-    """(position, window) of every occurrence of a test window in a shard of word numbers."""
+def member(values, ordered):
     import numpy as np
 
-    none = np.zeros(0, np.int64)
-    if not len(suffixes.length) or not len(shard):
-        return none, none
-    ends = np.where(shard == 0, np.arange(len(shard)), len(shard))
-    run = np.minimum.accumulate(ends[::-1])[::-1] - np.arange(len(shard))
-    at = np.flatnonzero(run >= suffixes.shortest)
-    if not len(at):
-        return none, none
-    ahead = np.zeros((len(at), suffixes.window), np.uint64)
-    for j in range(suffixes.window):
-        inside = run[at] > j
-        ahead[inside, j] = shard[at[inside] + j]
-    keys = packed(ahead)
-    order = np.lexsort(keys[::-1])
-    array, keys = at[order], [k[order] for k in keys]
-    lo, hi = boundary(keys, suffixes.low, False), boundary(keys, suffixes.high, True)
-    count = hi - lo
-    take = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
-    return array[take], np.repeat(np.arange(len(count)), count)
-
-
-def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, last: bool) -> DataFrame:
-    """``docs`` (doc_id, text and findings so far) after one block of items; the last block needs the text no more."""
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+class SuffixArray:
+    """The suffixes of a shard of word numbers that begin as some test suffix does, in order."""
+
+    def __init__(self, shard, suffixes: Suffixes):
+        import numpy as np
+
+        self.of, self.shard = suffixes, shard
+        ahead = np.zeros(len(shard) + suffixes.window, np.uint64)
+        ahead[: len(shard)] = shard
+        bits, lead = np.uint64(suffixes.bits), suffixes.per_key
+        first, chosen = np.zeros(len(shard), np.uint64), np.zeros(len(shard), bool)
+        whole = np.ones(len(shard), bool)  # no foreign word so far
+        by_length = dict(suffixes.starts)
+        for j in range(suffixes.lead):
+            word = ahead[j : j + len(shard)]
+            whole &= word > 0
+            first |= np.where(whole, word, 0) << bits * np.uint64(lead - 1 - j)
+            if j + 1 in by_length:
+                chosen |= whole & member(first, by_length[j + 1])
+        at = np.flatnonzero(chosen)
+        words = np.zeros((len(at), suffixes.window), np.uint64)
+        inside = np.ones(len(at), bool)
+        for j in range(suffixes.window):
+            word = ahead[at + j]
+            inside &= word > 0
+            words[:, j] = np.where(inside, word, 0)
+        keys = suffixes.packed(words)
+        order = np.lexsort(keys[::-1])
+        self.at, self.keys = at[order], [k[order] for k in keys]
+
+    def find(self, low, high):
+        """(position, row) of every suffix between the rows' bounds."""
+        import numpy as np
+
+        if not len(self.at) or not len(low[0]):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        lo, hi = boundary(self.keys, low, False), boundary(self.keys, high, True)
+        count = hi - lo
+        take = np.repeat(lo - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        return self.at[take], np.repeat(np.arange(len(count)), count)
+
+    def windows(self):
+        """(position, window) of every occurrence of a test window."""
+        return self.find(self.of.low, self.of.high)
+
+    def beginnings(self, still):
+        """(length, positions, items): by falling length, where test suffixes begin for so many words; ``still(length)``
+        says whether matches of this length are of use and, as a mask over the shard, where."""
+        import numpy as np
+
+        for n in range(self.of.window - 1, 0, -1):
+            mask, rows = still(n), self.of.beginning(n)
+            if mask is None or not len(rows):
+                continue
+            low, high = self.of.bounds(rows, n)
+            if n >= self.of.lead:
+                at, which = self.find(low, high)
+                keep = mask[at]
+                yield n, at[keep], self.of.item[rows[which[keep]]]
+                continue
+            # Short ones are everywhere: look only where they are of use.
+            at = np.flatnonzero(mask & (self.shard > 0))
+            words = np.zeros((len(at), self.of.window), np.uint64)
+            for j in range(n):
+                inside = at + j < len(self.shard)
+                words[inside, j] = self.shard[at[inside] + j]
+            key, order = self.of.packed(words)[0], np.argsort(low[0])
+            found = member(key, low[0][order])
+            yield n, at[found], self.of.item[rows[order[np.searchsorted(low[0][order], key[found])]]]
+
+
+def _pass(docs: DataFrame, blocks: list[list[tuple[str, bytes]]], window: int, last: bool) -> DataFrame:
+    """``docs`` (doc_id, text and findings so far) after some blocks of items; the last pass needs the text no more."""
     import numpy as np
     import pyarrow as pa
 
-    shared, name = docs.sparkSession.sparkContext.broadcast(items), uuid.uuid4().hex
+    shared, name = docs.sparkSession.sparkContext.broadcast(blocks), uuid.uuid4().hex
 
     def numbers(text: bytes | None, number) -> np.ndarray:
         text, parts, at = (text or b"").translate(TO_WORDS), [], 0
@@ -131,15 +219,33 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, last: bo
             at = end
         return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
-    def shard(batch_rows, suffixes: Suffixes):
-        """Adds what occurs in a shard of (word numbers, findings) to the findings."""
-        ids = [r[0] for r in batch_rows]
+    def shard(texts, rows, suffixes: Suffixes):
+        """Adds what occurs in a shard of texts to the findings of their rows."""
+        ids = [numbers(t, suffixes.number.get) for t in texts]
         sizes = np.array([len(i) + 1 for i in ids])
         begin = np.cumsum(sizes) - sizes
         whole = np.zeros(int(sizes.sum()), np.uint32)
-        for b, i in zip(begin, ids):
+        for b, i, row in zip(begin, ids, rows):
             whole[b : b + len(i)] = i
-        position, which = search(whole, suffixes)
+            row["n_words"] = len(i)
+        array = SuffixArray(whole, suffixes)
+        hits(array, ids, begin, whole, rows, suffixes)
+        longest = np.array([r["longest"] for r in rows])
+
+        def still(n: int):
+            short = longest < n
+            return np.repeat(short, sizes) if short.any() else None
+
+        for n, position, item in array.beginnings(still):
+            doc = np.searchsorted(begin, position, side="right") - 1
+            order = np.lexsort((position, doc))
+            for i in order[np.flatnonzero(np.append(True, np.diff(doc[order]) != 0))] if len(order) else ():
+                d = doc[i]
+                longest[d] = n
+                rows[d] |= {"longest": n, "longest_item": suffixes.items[item[i]], "longest_at": int(position[i] - begin[d])}
+
+    def hits(array: SuffixArray, ids, begin, whole, rows, suffixes: Suffixes):
+        position, which = array.windows()
         if not len(position):
             return
         doc = np.searchsorted(begin, position, side="right") - 1
@@ -152,12 +258,12 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, last: bo
         cuts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
         for lo, hi in zip(cuts, np.append(cuts[1:], len(doc))):
             d = doc[lo]
-            row, start = batch_rows[d][1], begin[d]
+            row, start = rows[d], begin[d]
             hit = covered[start : start + len(ids[d])]
             if row["hit"] is not None:
                 hit = hit | np.unpackbits(np.frombuffer(row["hit"], np.uint8), count=len(hit)).astype(bool)
             row["hit"], row["n_hit"] = np.packbits(hit).tobytes(), int(hit.sum())
-            owners = [suffixes.owners[w] for w in which[lo:hi]]
+            owners = [suffixes.owner[suffixes.owner_at[w] : suffixes.owner_at[w + 1]] for w in which[lo:hi]]
             times = np.array([len(o) for o in owners])
             pairs = np.concatenate(owners)
             at = np.repeat(position[lo:hi] - start, times)
@@ -175,20 +281,16 @@ def _pass(docs: DataFrame, items: list[tuple[str, bytes]], window: int, last: bo
     kept = ["doc_id"] if last else ["doc_id", "text"]
 
     def run(batches) -> Iterator[pa.RecordBatch]:
-        suffixes = worker_state("decontam", "suffixes", name, lambda: Suffixes(shared.value, window))
-        number = suffixes.number.get
+        every = worker_state("decontam", "suffixes", name, lambda: [Suffixes(items, window) for items in shared.value])
         for batch in slices(batches, 512):
-            rows, waiting, words = batch.select(list(FINDINGS)).to_pylist(), [], 0
-            for text, row in zip(batch.column("text").to_pylist(), rows):
-                ids = numbers(text, number)
-                row["n_words"] = len(ids)
-                waiting.append((ids, row))
-                words += len(ids)
-                if words >= SHARD_WORDS:
-                    shard(waiting, suffixes)
-                    waiting, words = [], 0
-            if waiting:
-                shard(waiting, suffixes)
+            rows, texts = batch.select(list(FINDINGS)).to_pylist(), batch.column("text").to_pylist()
+            at, size = 0, 0
+            for end, text in enumerate(texts, 1):
+                size += len(text or b"")
+                if size >= 6 * SHARD_WORDS or end == len(texts):
+                    for suffixes in every:
+                        shard(texts[at:end], rows[at:end], suffixes)
+                    at, size = end, 0
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array([r[c] for r in rows], kind) for c, kind in kinds.items())], [*kept, *kinds])
 
     kinds = {"n_words": pa.int64(), "n_hit": pa.int64(), "hit": pa.binary(), "found": pa.list_(pa.string()), "longest": pa.int64(), "longest_item": pa.string(), "longest_at": pa.int64()}
@@ -213,16 +315,19 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
     """(doc_id, n_words, n_hit, hit, found, longest, longest_item, longest_at): a row for each row of ``docs``.
 
     ``hit`` is a bitmap of the words inside occurrences (null if none), ``found`` the ids of the items whose windows
-    occur, sorted as strings; ``keep_text`` adds the text as ``text`` (binary). A window is ``window`` consecutive words of an item, or a shorter item as a whole. Null
-    texts have no words; items of null id or text, or without words, have no window. Repeated rows each get their own.
+    occur, sorted as strings; ``keep_text`` adds the text as ``text`` (binary). A window is ``window`` consecutive words
+    of an item, or a shorter item as a whole. ``longest`` is the number of words of the longest verbatim match with any
+    item, of one word or more, ``longest_at`` its first place among the document's words; of several items one is named.
+    Null texts have no words; items of null id or text, or without words, have no window. Repeated rows each get their own.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
     rows = rows.withColumns({c: (F.array() if first == [] else F.lit(first)).cast(kind) for c, (kind, first) in FINDINGS.items()})
-    blocks = benchmark_blocks(benchmark, item_col, "text", block_words)
-    block = next(blocks, [])
-    while block is not None:
-        following = next(blocks, None)
-        rows, block = _pass(rows, block, window, following is None and not keep_text), following
+    blocks, first = benchmark_blocks(benchmark, item_col, "text", block_words), True
+    block = list(islice(blocks, RESIDENT))
+    while first or block:
+        following = list(islice(blocks, RESIDENT))
+        rows = _pass(rows if first else cut(rows), block, window, not following and not keep_text)
+        first, block = False, following
     return rows
 
 
