@@ -14,7 +14,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stowage.llm.common import cut, shuffle_partitions, slices
@@ -42,6 +42,13 @@ def matrix(column):
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def even(x):
+    """Rows scaled by a power of two each, so that no square is lost or infinite; cosines stay the same to the last bit."""
+    import numpy as np
+
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0, keepdims=True))[1])
+
+
 def kmeans(points, k: int, rounds: int = 12):
     """Centroids by Lloyd's algorithm from evenly spread starting points."""
     import numpy as np
@@ -97,7 +104,7 @@ def fit_codebooks(vectors: DataFrame, total: int, sample_rows: int = SAMPLE):
     rows = vectors.where(F.pmod(F.xxhash64("vec_id", F.lit(3)), F.lit(span)) < share).orderBy("vec_id").toPandas()
     if not len(rows):
         rows = vectors.orderBy("vec_id").limit(1).toPandas()
-    x = np.array(rows["vector"].tolist(), float)
+    x = even(np.array(rows["vector"].tolist(), float))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     k = int(min(MOST_CENTROIDS, len(x), max(2, round((total / PER_CELL) ** 0.5))))
     half = (x.shape[1] + 1) // 2
@@ -107,26 +114,33 @@ def fit_codebooks(vectors: DataFrame, total: int, sample_rows: int = SAMPLE):
 def search(rows: DataFrame, is_query, k: int = 5, share: float = SHARE, least: int = LEAST, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's ``k`` nearest by cosine, among all rows but its own.
 
-    Rows with a null id, or a vector that is null, zero, of another length than most of the sample, or holds null or
-    non-finite numbers take no part. Ties go to the smaller id; rows that repeat an id count once each. A query with
-    fewer candidates returns all of them; an empty table returns no rows.
+    Rows with a null id, or a vector that is null, zero, or holds null or non-finite numbers take no part; any finite
+    numbers will do, however small or large. Vectors are compared with those of their own length, each length having an
+    index. Ties go to the smaller id; rows that repeat an id count once each, and none of a query's own id is found. A
+    query with fewer candidates returns all of them; an empty table returns no rows.
     """
+    vectors = valid_vectors(rows, id_col, vector_col)
+    found = rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    lengths = vectors.groupBy(F.size("vector").alias("n")).count().orderBy("n").collect()
+    for at, r in enumerate(lengths):
+        own = _search(vectors.where(F.size("vector") == r["n"]), r["count"], is_query, k, share, least)
+        found = own if at == 0 else found.unionByName(own)
+    return found
+
+
+def _search(vectors: DataFrame, total: int, is_query, k: int, share: float, least: int) -> DataFrame:
+    """``search`` among ``total`` vectors of one length."""
     import numpy as np
     import pyarrow as pa
 
-    out_schema = "query_id long, vec_id long, score double"
-    vectors = valid_vectors(rows, id_col, vector_col)
-    sizes = vectors.groupBy(F.size("vector").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    if sizes is None:
-        return rows.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    vectors, total = vectors.where(F.size("vector") == sizes["n"]), sizes["count"]
+    rows, out_schema = vectors, "query_id long, vec_id long, score double"
     first, second = fit_codebooks(vectors, total)
     half = first.shape[1]
     cells = len(second)
     books = rows.sparkSession.sparkContext.broadcast((first, second))
 
     def units(batch):
-        x = matrix(batch.column("vector"))
+        x = even(matrix(batch.column("vector")))
         return x / np.linalg.norm(x, axis=1, keepdims=True)
 
     def assign(batches) -> Iterator[pa.RecordBatch]:
@@ -189,12 +203,12 @@ def search(rows: DataFrame, is_query, k: int = 5, share: float = SHARE, least: i
                 if (c1[lo], chunk[lo]) != key:
                     key, ids, waiting = (c1[lo], chunk[lo]), None, []
                 if kind[lo] == 0:
-                    waiting.append((part.column("vec_id").to_numpy(), matrix(part.column("vector")), part.column("c2").to_numpy(zero_copy_only=False).astype(int)))
+                    waiting.append((part.column("vec_id").to_numpy(), even(matrix(part.column("vector"))), part.column("c2").to_numpy(zero_copy_only=False).astype(int)))
                     continue
                 loaded()
                 if ids is None:
                     continue
-                query, q = part.column("vec_id").to_numpy(), matrix(part.column("vector"))
+                query, q = part.column("vec_id").to_numpy(), even(matrix(part.column("vector")))
                 lengths = np.sqrt((q * q).sum(1))
                 walked = np.unpackbits(np.frombuffer(b"".join(part.column("cells").to_pylist()), np.uint8).reshape(len(q), -1), axis=1)[:, :cells].astype(bool)
                 found = []
@@ -214,6 +228,6 @@ def search(rows: DataFrame, is_query, k: int = 5, share: float = SHARE, least: i
                     yield pa.RecordBatch.from_arrays([pa.array([f[j] for f in found], kind) for j, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
     scored = dealt.mapInArrow(rerank, out_schema)
-    # At most k rows a query and walked group come in.
-    best = scored.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "vec_id"))), 1, k).alias("best"))
-    return best.select("query_id", F.posexplode("best").alias("at", "found")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("found.vec_id").alias("vec_id"), (-F.col("found.minus")).alias("score"))
+    # Each task lets go of all but a query's k best before rows meet.
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -62,6 +62,53 @@ def test_round_trip(spark, monkeypatch):
     assert ordered == sorted(ordered)
 
 
+def test_external_merge_of_many_runs_in_small_buffers(spark, monkeypatch):
+    """More runs than a task merges and runs longer than a buffer: several passes, and the order of a plain sort."""
+    for name, value in {"RUN_ROWS": 40, "BLOCK_ROWS": 7, "FAN_IN": 4, "LEAST_RANGE": 50}.items():
+        monkeypatch.setattr(warc, name, value)
+    passes, merge_pass = [], warc.merge_pass
+    monkeypatch.setattr(warc, "merge_pass", lambda *a, **b: passes.append(b["last"]) or merge_pass(*a, **b))
+    rng = random.Random(8)
+    hosts = ["hot.org"] * 6 + ["a.com", "b.com", "é.net", "z.io"]
+    pages = [(i if i % 50 else None, f"http://{rng.choice(hosts)}/{rng.randint(0, 30)}", "x") for i in range(1200)] + [(7, "http://hot.org/1", "x")] * 60
+    folder = "file:///tmp/checkpoints/warc-merge-test"
+    warc.remove(spark, folder)
+    blocks = warc.cut(warc.write_archives(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(3), folder))
+    assert blocks.select("run").distinct().count() > 16 and blocks.where("captures > 7").isEmpty()
+    index = warc.merge_runs(blocks, folder).collect()
+    assert passes[-1] and passes.count(False) >= 2
+    assert len({r["range"] for r in index}) > 2
+    got = [(r["url_key"], r["captured"], r["page_id"] is not None, r["page_id"] or 0, r["segment"], r["offset"]) for r in sorted(index, key=lambda r: (r["range"], r["place"]))]
+    assert got == sorted(got)
+    assert Counter(g[:4] for g in got) == Counter((warc.url_key(u), warc.stamp(i), i is not None, i or 0) for i, u, _ in pages)
+    places = Counter((r["range"], r["place"]) for r in index)
+    assert max(places.values()) == 1
+    warc.remove(spark, folder)
+
+
+def test_a_merge_reads_one_block_of_each_run_at_a_time(tmp_path):
+    import pyarrow.fs as pafs
+
+    store, held = pafs.LocalFileSystem(), []
+    rows = sorted((f"k{i % 13}", "2020", True, i, "s", i, 1) for i in range(5000))
+    writer = warc.RunWriter(store, str(tmp_path), "a.run", 1)
+    for r in rows:
+        writer.add(r)
+    blocks = [(file, at, size) for _, file, at, size, *_ in writer.close()]
+    assert len(blocks) == -(-5000 // warc.BLOCK_ROWS)
+
+    class Counted:
+        def open_input_file(self, path):
+            held.append(path)
+            return store.open_input_file(path)
+
+    stream = warc.read_blocks(Counted(), str(tmp_path), blocks, None, None)
+    assert [next(stream) for _ in range(warc.BLOCK_ROWS)] == rows[: warc.BLOCK_ROWS] and len(held) == 1
+    assert list(stream) == rows[warc.BLOCK_ROWS :]
+    low, high = rows[1000][:4], rows[3000][:4]
+    assert list(warc.read_blocks(store, str(tmp_path), blocks, low, high)) == rows[1000:3000]
+
+
 def test_no_pages(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
@@ -126,6 +173,15 @@ def test_few_and_no_vectors(spark):
     assert ann.search(few.limit(1).select(F.lit(None).cast("long").alias("vec_id"), "embedding"), lambda c: c % 50 == 0).count() == 0
 
 
+def test_vectors_of_any_size_length_and_repeats(spark):
+    """Numbers whose squares vanish or overflow count, lengths do not mix, repeated ids count once each."""
+    schema = "vec_id long, embedding array<double>"
+    rows = [(0, [1e-200, 0.0]), (1, [3e200, 3e200]), (2, [5e-324, 0.0]), (3, [-1e300, 1e-300]), (3, [0.0, 1.0]), (50, [1.0, 0.0, 0.0]), (51, [1.0, 1.0, 0.0])]
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 12)) for r in ann.search(spark.createDataFrame(rows, schema), lambda c: c % 50 == 0).collect()]
+    half = round(0.5**0.5, 12)
+    assert sorted(got) == [(0, 1, 2, 1.0), (0, 2, 1, half), (0, 3, 3, 0.0), (0, 4, 3, -1.0), (50, 1, 51, half)]
+
+
 def test_walk_goes_by_rising_sum():
     import numpy as np
 
