@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from stowage.llm.common import slices, worker_state
 
 CHUNK = 1 << 16
-CACHED_BYTES = 32 << 20  # of pretokens and their ids, in each of two generations
+CACHED_BYTES = 48 << 20  # of pretokens and their ids, in each of two generations
 CACHED_PAIRS = 200_000
 CACHED_LENGTH = 64
 ENTRY_BYTES = 190  # of a cached pretoken beside its characters and ids: two objects and its share of the table

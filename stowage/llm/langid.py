@@ -36,20 +36,19 @@ def _letters():
 
 
 def grams(text: str | None):
-    """(buckets, counts) of the letter n-grams of a text, or None if it has no letters."""
+    """(buckets, counts) of the letter n-grams of a text, or None if it has no letters; read piece by piece, counted as one."""
     import numpy as np
 
     letter = worker_state("langid", "letters", None, _letters)
-    total, carried = None, ""
-    text = text or ""
+    total, tail, text = None, np.zeros(1, np.uint32), text or ""
     for at in range(0, len(text), PIECE):
-        piece = carried + text[at : at + PIECE].lower()
-        carried = piece[-2:]
-        c = np.frombuffer(piece.encode("utf-32-le", "replace"), np.uint32)
-        c = np.where(letter[c], c, 0)
+        c = np.frombuffer(text[at : at + PIECE].lower().encode("utf-32-le", "replace"), np.uint32)
+        c = np.concatenate([tail, np.where(letter[c], c, 0), np.zeros(int(at + PIECE >= len(text)), np.uint32)]).astype(np.uint32)
         keep = np.ones(len(c), bool)
-        keep[1:] = (c[1:] != 0) | (c[:-1] != 0)
-        c = np.concatenate([[0], c[keep], [0]]).astype(np.uint32)
+        keep[1:] = (c[1:] != 0) | (c[:-1] != 0)  # a word edge once, across pieces too
+        keep[: len(tail)] = True
+        c = c[keep]
+        tail = c[-2:]
         if len(c) < 3:
             continue
         two = c[:-1] * np.uint32(0x9E3779B1) ^ c[1:] * np.uint32(0x85EBCA77)
@@ -86,7 +85,11 @@ class Mixture:
         return share, float(n @ np.log(p @ share))
 
     def infer(self, text: str | None) -> tuple[str, float, dict[str, float]]:
-        """(label, score, proportions). The score is the label's proportion, times its odds against the others."""
+        """(label, score, proportions). The score is the label's proportion, times its odds against the others.
+
+        Of equal likelihoods, and of equal proportions, the language that joined first counts, and before that the
+        first by name.
+        """
         import numpy as np
 
         found = grams(text)
@@ -119,7 +122,8 @@ class Mixture:
 def learn(docs: DataFrame, learns, max_docs: int = MAX_DOCS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Mixture:
     """A mixture learnt from rows of non-null language for whose id ``learns`` holds.
 
-    The driver holds a count for each language and bucket, however large the corpus.
+    The driver holds a count for each language and bucket (256 KB a language), however large the corpus; so does each
+    worker. Rows that repeat count as often as they occur.
     """
     import numpy as np
     import pyarrow as pa
