@@ -59,7 +59,7 @@ def artist_alts(artists: Column, display: Column) -> Column:
 
 def title_alts(title: Column) -> Column:
     """Both sides of a title written in two scripts, joined by `` = ``."""
-    sides = F.filter(F.transform(F.split(title, " = "), F.trim), lambda t: t != "")
+    sides = F.filter(F.transform(F.split(title, " = "), lambda t: F.trim(t)), lambda t: t != "")
     return F.when(F.contains(title, F.lit(" = ")), sides).otherwise(F.array().cast(STRINGS))
 
 

@@ -19,8 +19,8 @@ def disc_wait(files: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def group_first_seen(rows: DataFrame, key: str, ordinal: str) -> DataFrame:
-    """(key, n, first_seen): groups in the order in which their first member comes."""
-    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(ordinal).alias("first_seen")).orderBy("first_seen")
+    """(key, n, first_seen): groups; ``first_seen`` is the order in which their first members come."""
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.min(ordinal).alias("first_seen"))
 
 
 def completeness(tracks: DataFrame, markers: DataFrame, keys: Sequence[str] = ("group_id",), groups: DataFrame | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ independent and spread over all tasks.
 import json
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,17 +77,26 @@ def lineage(observations: DataFrame, versions: DataFrame | None = None, prior: D
     for p in parts[1:]:
         rows = rows.unionByName(p)
 
-    def run(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        seen = [(int(r.location_id), r.actor, r.sha) for r in group[group.kind == 0].itertuples()]
-        known = [(int(r.version_id), r.sha, r.vclock) for r in group[group.kind == 1].itertuples()]
-        before = {int(r.location_id): int(r.version_id) for r in group[group.kind == 2].itertuples()}
-        head = group[(group.kind == 3) & group.version_id.notna()]
-        held, after, top = fold(seen, known, before, int(head.version_id.iloc[0]) if len(head) else None)
-        if want == "held":
-            return pd.DataFrame([(key[0], *h, top) for h in held], columns=[c.split()[0] for c in HELD.split(", ")])
-        return pd.DataFrame([(key[0], *v) for v in after], columns=[c.split()[0] for c in VERSIONS.split(", ")])
-
-    return rows.groupBy("doc_id").applyInPandas(run, HELD if want == "held" else VERSIONS)
+    schema = HELD if want == "held" else VERSIONS
+    kinds = {"long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    columns = [(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")]
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc_id, parts in zip(batch.column("doc_id").to_pylist(), batch.column("parts").to_pylist()):
+                of = lambda kind: (p for p in parts if p["kind"] == kind)  # noqa: B023, E731
+                seen = [(p["location_id"], p["actor"], p["sha"]) for p in of(0)]
+                known = [(p["version_id"], p["sha"], p["vclock"]) for p in of(1)]
+                before = {p["location_id"]: p["version_id"] for p in of(2)}
+                head = min((p["version_id"] for p in of(3) if p["version_id"] is not None), default=None)
+                held, after, top = fold(seen, known, before, head)
+                out += [(doc_id, *h, top) for h in held] if want == "held" else [(doc_id, *v) for v in after]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, (_, kind) in enumerate(columns)], [c for c, _ in columns])
+
+    # A document's rows are one array, and a task folds many documents.
+    grouped = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("kind", "location_id", "version_id", "actor", "sha", "vclock"))).alias("parts"))
+    return grouped.mapInArrow(run, schema)
 
 
 def concurrent(held: DataFrame) -> DataFrame:

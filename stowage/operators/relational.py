@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stowage.functions.text import ascii_lower
 
 # Latest rows
 
@@ -135,19 +136,27 @@ def ensure_docs(docs: DataFrame, audio: DataFrame, now: int) -> DataFrame:
 def merge_keeping_conflicts(incoming: DataFrame, existing: DataFrame, keys: Sequence[str] = ("directory", "name"), digest: str = "sha256") -> DataFrame:
     """Incoming files with ``outcome`` and ``stored_as``: new ones move, equal ones are dropped, differing ones are parked.
 
-    Nothing that exists is replaced: a differing file gets the first free name ``stem (n).ext``, n from 2.
+    Nothing that exists is replaced, nor is one incoming file by another: of several of one name, where none exists, the
+    one of the smallest digest moves, and each other content is parked once. Parked files get the free names
+    ``stem (n).ext``, n from 2, by digest; a number that any file bears is taken.
     """
-    base = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
-    ext = F.substr(F.col("name"), F.char_length(base) + 1)
-    held = existing.select(*keys, F.col(digest).alias("_held"))
-    joined = incoming.join(held, list(keys), "left")
-    taken = existing.unionByName(incoming, allowMissingColumns=True).select("directory", F.regexp_extract("name", r"^(.*) \((\d+)\)(\.[^.]*)?$", 1).alias("_stem"), F.coalesce(F.regexp_extract("name", r"^(.*) \((\d+)\)(\.[^.]*)?$", 3), F.lit("")).alias("_ext"), F.regexp_extract("name", r"^(.*) \((\d+)\)(\.[^.]*)?$", 2).try_cast("int").alias("_n")).where("_n is not null")
+    numbered = r"^(.*) \((\d+)\)(\.[^.]*)?$"
+    part = lambda i: F.coalesce(F.regexp_extract("name", numbered, i), F.lit(""))
+    everything = existing.select(*keys).unionByName(incoming.select(*keys))
+    taken = everything.select("directory", part(1).alias("_stem"), part(3).alias("_ext"), part(2).try_cast("int").alias("_n")).where("_n is not null")
     used = taken.groupBy("directory", "_stem", "_ext").agg(F.collect_set("_n").alias("_used"))
-    joined = joined.withColumns({"_stem": base, "_ext": ext}).join(used, ["directory", "_stem", "_ext"], "left")
-    free = F.array_min(F.array_except(F.sequence(F.lit(2), F.size(F.coalesce("_used", F.array().cast("array<int>"))) + 2), F.coalesce("_used", F.array().cast("array<int>"))))
-    outcome = F.when(F.col("_held").isNull(), "moved").when(F.col("_held") == F.col(digest), "dropped").otherwise("parked")
-    stored = F.when(outcome == "parked", F.concat("_stem", F.format_string(" (%d)", free), "_ext")).otherwise(F.col("name"))
-    return joined.withColumns({"outcome": outcome, "stored_as": stored}).select(*incoming.columns, "outcome", "stored_as")
+    of_name, of_content = Window.partitionBy(*keys), Window.partitionBy(*keys, digest)
+    rows = incoming.join(existing.select(*keys, F.col(digest).alias("_held")), list(keys), "left")
+    rows = rows.withColumns({"_first": F.min(digest).over(of_name), "_repeat": F.row_number().over(of_content.orderBy(F.lit(0)))})
+    stays = F.coalesce("_held", "_first")
+    outcome = F.when(F.col(digest) == stays, F.when(F.col("_held").isNull() & (F.col("_repeat") == 1), "moved").otherwise("dropped")).otherwise(F.when(F.col("_repeat") == 1, "parked").otherwise("dropped"))
+    base = F.regexp_replace("name", r"(?<=.)\.[^.]*$", "")
+    rows = rows.withColumns({"outcome": outcome, "_stem": base, "_ext": F.substr(F.col("name"), F.char_length(base) + 1)})
+    rows = rows.join(used, ["directory", "_stem", "_ext"], "left").withColumn("_place", F.row_number().over(Window.partitionBy(*keys, "outcome").orderBy(digest)))
+    held = F.coalesce("_used", F.array().cast("array<int>"))
+    free = F.get(F.array_except(F.sequence(F.lit(2), F.size(held) + 1 + F.col("_place")), held), F.col("_place") - 1)
+    stored = F.when(F.col("outcome") == "parked", F.concat("_stem", F.format_string(" (%d)", free), "_ext")).otherwise(F.col("name"))
+    return rows.withColumn("stored_as", stored).select(*incoming.columns, "outcome", "stored_as")
 
 
 # Lookups and filters
@@ -167,8 +176,8 @@ def where_optional(rows: DataFrame, **wanted: object) -> DataFrame:
 
 
 def pending_actions(actions: DataFrame, action_kind: str | None = None, dest_location_id: int | None = None) -> DataFrame:
-    """Acknowledged actions that are not executed, first in, first out."""
-    return where_optional(actions, acknowledged=True, executed_utc=False, action_kind=action_kind, dest_location_id=dest_location_id).orderBy("id")
+    """Acknowledged actions that are not executed. First in, first out is by ``id``; whoever needs the order sorts."""
+    return where_optional(actions, acknowledged=True, executed_utc=False, action_kind=action_kind, dest_location_id=dest_location_id)
 
 
 def unambiguous(rows: DataFrame, keys: Sequence[str], content: str = "content_id") -> DataFrame:
@@ -194,7 +203,8 @@ def known_media(values: Sequence[str]) -> list[str]:
 
 
 def nocase_order(rows: DataFrame, *columns: str, ordinal: str | None = None) -> DataFrame:
-    return rows.orderBy(*[F.lower(c) for c in columns], *([ordinal] if ordinal else []))
+    """Rows by columns in which only A-Z fold, then by the ordinal."""
+    return rows.orderBy(*[ascii_lower(F.col(c)) for c in columns], *([ordinal] if ordinal else []))
 
 
 def unknown_ids(wanted: DataFrame, collection: DataFrame, key: str = "item_key") -> DataFrame:

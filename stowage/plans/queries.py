@@ -46,10 +46,21 @@ BINDINGS = {
         concat(p_name, CASE WHEN p_partkey % 6 = 0 THEN ' (Deluxe Edition)' WHEN p_partkey % 6 = 2 THEN ' [live]' ELSE '' END) AS album, CASE WHEN p_partkey % 9 = 0 THEN concat('x', CAST(p_partkey % 90 AS STRING)) END AS ext_id FROM {part}""",
     "item": """SELECT p_partkey AS ordinal, concat('c:', CAST(p_partkey AS STRING)) AS item_key, concat(p_brand, CASE WHEN p_partkey % 5 = 0 THEN ' (2)' WHEN p_partkey % 5 = 1 THEN ' Band' ELSE '' END) AS artist,
         concat(p_name, CASE WHEN p_partkey % 4 = 0 THEN ' extra' WHEN p_partkey % 4 = 1 THEN ' (2018 Remaster)' ELSE '' END) AS title, CASE WHEN p_partkey % 13 = 0 THEN concat('x', CAST(p_partkey % 90 AS STRING)) END AS ext_id,
-        CASE WHEN p_size % 5 = 0 THEN 'vinyl' WHEN p_size % 5 = 1 THEN 'cassette' ELSE 'cd' END AS medium FROM {part} WHERE p_partkey % 20 = 1""",
+        CASE WHEN p_size % 5 = 0 THEN 'vinyl' WHEN p_size % 5 = 1 THEN 'cassette' ELSE 'cd' END AS medium FROM {part}""",
+    "shelf": """SELECT p_partkey AS ordinal, concat(p_brand, ' ', p_type, ' ', CAST(p_partkey % 97 AS STRING)) AS albumartist, concat(p_name, ' opus ', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 6 = 0 THEN ' (Deluxe Edition)' ELSE '' END) AS album,
+        CASE WHEN p_partkey % 9 = 0 THEN concat('x', CAST(p_partkey AS STRING)) END AS ext_id FROM {part}""",
+    "wanted": """SELECT p_partkey AS ordinal, concat('c:', CAST(p_partkey AS STRING)) AS item_key, CASE WHEN p_partkey % 11 = 0 THEN concat(p_brand, ' ', p_type, ' ', CAST(p_partkey % 97 AS STRING), 'x') WHEN p_partkey % 11 = 1 THEN concat('Nobody Known ', CAST(p_partkey AS STRING))
+        ELSE concat(p_brand, ' ', p_type, ' ', CAST(p_partkey % 97 AS STRING)) END AS artist, CASE WHEN p_partkey % 7 = 4 THEN concat('zq', CAST(p_partkey AS STRING)) ELSE concat(p_name, ' opus ', CAST(p_partkey AS STRING), CASE WHEN p_partkey % 7 = 1 THEN ' (2018 Remaster)' WHEN p_partkey % 7 = 2 THEN ' extra' WHEN p_partkey % 7 = 3 THEN 'b' ELSE '' END) END AS title,
+        CASE WHEN p_partkey % 18 = 0 THEN concat('x', CAST(p_partkey AS STRING)) END AS ext_id, CASE WHEN p_size % 5 = 0 THEN 'vinyl' ELSE 'cd' END AS medium FROM {part}""",
+    "placed": """SELECT doc_id, concat('lib/', source, '/', CAST(doc_id % 97 AS STRING), CASE WHEN doc_id % 97 BETWEEN 10 AND 29 THEN '/cd1' ELSE '' END) AS directory, CASE WHEN doc_id % 97 < 50 THEN doc_id % 97 ELSE doc_id % 5 END AS album_id FROM {documents}""",
     "lines": """SELECT user_id AS doc_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS pos, @epoch(ts) AS sec, event_id, event_type, value FROM {events}""",
     "timed_line": """SELECT doc_id, pos, CAST(sec - min(sec) OVER (PARTITION BY doc_id) AS DOUBLE) AS time, event_id, event_type FROM {lines}""",
     "held": """SELECT user_id AS doc_id, CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN 2 WHEN 'purchase' THEN 3 WHEN 'signup' THEN 4 ELSE 5 END AS location_id, event_type AS actor, @json_k(props) AS sha, event_id FROM {events}""",
+    # The last observation of each location, and its fold where nothing was known before: the first location's hash is the
+    # head, each other hash a version of its own that goes back to nothing, so it is concurrent; versions count by location.
+    "seen": """SELECT doc_id, CAST(location_id AS BIGINT) AS location_id, actor, sha FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, location_id ORDER BY event_id DESC) AS rn FROM {held}) x WHERE rn = 1""",
+    "folded": """SELECT doc_id, location_id, sha, CAST(dense_rank() OVER (PARTITION BY doc_id ORDER BY since) AS BIGINT) AS version_id, since = min(since) OVER (PARTITION BY doc_id) AS is_head FROM (SELECT *, min(location_id) OVER (PARTITION BY doc_id, sha) AS since FROM {seen}) x""",
+    "target_conflicts": """SELECT f.doc_id, f.version_id AS loser_version, CAST(h.winner AS BIGINT) AS winner_location FROM {folded} f JOIN (SELECT doc_id, min(location_id) AS winner FROM {folded} WHERE is_head GROUP BY doc_id) h ON h.doc_id = f.doc_id WHERE f.location_id = 3 AND NOT f.is_head""",
     "clock": """SELECT user_id AS doc_id, event_type AS actor, event_id % 3 AS n, event_id % 2 AS side FROM {events}""",
     "file": """SELECT doc_id, concat('lib/', source, '/', lang, '/', lpad(CAST(doc_id % 37 AS STRING), 2, '0'), '. ', lang, CASE WHEN doc_id % 4 = 0 THEN '.lrc' WHEN doc_id % 9 = 1 THEN '.wav' ELSE '.flac' END) AS rel_path,
         CAST(n_chars AS BIGINT) AS byte_size, CAST(CASE WHEN doc_id % 6 = 0 THEN NULL ELSE doc_id * 7 END AS BIGINT) AS mtime_ns, doc_id % 5 AS location_id FROM {documents}""",
@@ -58,11 +69,11 @@ BINDINGS = {
         concat(c_mktsegment, CASE WHEN c_custkey % 5 = 0 THEN ' [Japanese Edition]' WHEN c_custkey % 5 = 1 THEN ' (live) + more' ELSE '' END) AS title, c_custkey % 4 + 1 AS disc_no, CASE WHEN c_custkey % 50 = 3 THEN 9 ELSE 4 END AS disc_total, c_nationkey AS nation FROM {customer}""",
 }
 
-#: All items; ``item`` is kept for the queries whose SQL has it.
-BINDINGS["every_item"] = BINDINGS["item"].removesuffix(" WHERE p_partkey % 20 = 1")
-
 #: Inputs that an operator of this package makes in Spark.
-MADE: dict[str, Callable] = {"presence": lambda spark, d: reconcile.fold_presence(bound(spark, d, "observation"))}
+MADE: dict[str, Callable] = {
+    "presence": lambda spark, d: reconcile.fold_presence(bound(spark, d, "observation")),
+    "seen": lambda spark, d: relational.latest(bound(spark, d, "held"), ["doc_id", "location_id"], ["event_id"]).select("doc_id", F.col("location_id").cast("long").alias("location_id"), "actor", "sha"),
+}
 
 
 def _said(sql: str, engine: int) -> str:
@@ -179,11 +190,12 @@ def below_floor(presence, location):
     return reconcile.below_floor(presence, location, 6)
 
 
-@query("presence", "sidecar_presence", "location", "scan", sql=f"""SELECT * FROM ({_COPY_AUDIO}) UNION ALL SELECT * FROM ({_COPY_SIDE}) UNION ALL
-    SELECT 'update_presence', 'audio', m.content_id, CAST(NULL AS BIGINT), CAST(3 AS BIGINT), m.rel_path, 'present in the catalog but not seen in the latest scan of ' || l.name FROM ({_MISSING}) m JOIN {{location}} l ON l.location_id = 3 WHERE m.location_id = 3""")
-def reconcile_plan(presence, sidecars, location, scan):
-    none = presence.sparkSession.createDataFrame([], "doc_id long, winner_location long, winner_version long, loser_version long, opens boolean")
-    return reconcile.reconcile(TARGET, presence, sidecars, location, scan, none)
+@query("presence", "sidecar_presence", "location", "scan", "seen", sql=f"""SELECT * FROM ({_COPY_AUDIO}) UNION ALL SELECT * FROM ({_COPY_SIDE}) UNION ALL
+    SELECT 'update_presence', 'audio', m.content_id, CAST(NULL AS BIGINT), CAST(3 AS BIGINT), m.rel_path, 'present in the catalog but not seen in the latest scan of ' || l.name FROM ({_MISSING}) m JOIN {{location}} l ON l.location_id = 3 WHERE m.location_id = 3
+    UNION ALL SELECT 'resolve_conflict', 'audio', doc_id, CAST(winner_location AS BIGINT), CAST(3 AS BIGINT), CAST(NULL AS VARCHAR), 'texts diverge' FROM (SELECT * FROM {{target_conflicts}}) c""")
+def reconcile_plan(presence, sidecars, location, scan, seen):
+    held = lineage.lineage(seen)
+    return reconcile.reconcile(TARGET, presence, sidecars, location, scan, lineage.conflicts(held, TARGET, seen.limit(0).select("doc_id")))
 
 
 _PRUNE = """SELECT p.location_id, p.content_id, p.rel_path, p.byte_size, coalesce(copies, 0) < 2 AS below_floor FROM {presence} p JOIN {location} l ON l.location_id = p.location_id
@@ -288,13 +300,12 @@ def stem_join(file):
     return relational.stem_join(side, tracks.where("location_id = 0"), tracks)
 
 
-@query("file", sql=f"""WITH t AS (SELECT {_DIR} AS directory, doc_id % 3 AS a FROM {{file}} WHERE rel_path NOT LIKE '%.lrc' AND doc_id % 41 < 3), d AS (SELECT DISTINCT {_DIR} AS directory FROM {{file}} UNION SELECT DISTINCT 'lib/' || source FROM {{documents}}),
-    dir AS (SELECT directory, min(a) AS lo, max(a) AS hi FROM t GROUP BY 1), up AS (SELECT regexp_extract(directory, '^(.*)/[^/]*$', 1) AS directory, min(lo) AS lo, max(hi) AS hi FROM dir GROUP BY 1)
+@query("placed", sql=r"""WITH d AS (SELECT DISTINCT directory FROM {placed} UNION SELECT DISTINCT regexp_extract(directory, '^(.*)/[^/]*$', 1) FROM {placed}),
+    dir AS (SELECT directory, min(album_id) AS lo, max(album_id) AS hi FROM {placed} GROUP BY 1), up AS (SELECT regexp_extract(directory, '^(.*)/[^/]*$', 1) AS directory, min(lo) AS lo, max(hi) AS hi FROM dir GROUP BY 1)
     SELECT d.directory, CASE WHEN dir.lo IS NOT NULL THEN CASE WHEN dir.lo = dir.hi THEN dir.lo END WHEN up.lo = up.hi THEN up.lo END AS album_id FROM d LEFT JOIN dir ON dir.directory = d.directory LEFT JOIN up ON up.directory = d.directory""")
-def dir_album_resolve(file):
-    path = F.col("rel_path")
-    placed = file.where("rel_path not like '%.lrc' and doc_id % 41 < 3").select(text.parent(path).alias("directory"), (F.col("doc_id") % 3).alias("album_id"))
-    own = file.select(text.parent(path).alias("directory"))
+def dir_album_resolve(placed):
+    placed = placed.select("directory", "album_id")
+    own = placed.select("directory")
     return relational.directory_album(own.unionByName(own.select(text.parent(F.col("directory")).alias("directory"))).distinct(), placed)
 
 
@@ -322,30 +333,37 @@ def group_first_seen(name):
 _B = "lower(trim(regexp_replace(%s, '\\s+', ' ', 'g')))"
 
 
-@query("album", sql=f"""WITH b AS (SELECT ordinal AS batch_id, albumartist AS artist, album FROM {{album}} WHERE ordinal % 7 = 0), l AS (SELECT DISTINCT {_B % 'albumartist'} AS a, {_B % 'album'} AS t FROM {{album}} WHERE ordinal % 11 = 0),
+@query("album", sql=f"""WITH b AS (SELECT ordinal AS batch_id, albumartist AS artist, album || ' ' || (ordinal // 3) AS album FROM {{album}}), l AS (SELECT DISTINCT {_B % 'albumartist'} AS a, {_B % 'album'} AS t FROM
+      (SELECT CASE WHEN ordinal % 3 = 1 THEN 'x ' || albumartist ELSE albumartist END AS albumartist, album || ' ' || (ordinal // 3) AS album FROM {{album}} WHERE ordinal % 11 <> 5) y),
     n AS (SELECT *, {_B % 'artist'} AS a, {_B % 'album'} AS t FROM b), one AS (SELECT t, min(a) AS a FROM l GROUP BY t HAVING count(*) = 1), cnt AS (SELECT t, count(*) AS c FROM n GROUP BY t)
     SELECT batch_id, artist, album, CASE WHEN (SELECT count(*) FROM l) = 0 OR l.a IS NOT NULL OR (c = 1 AND one.a IS NOT NULL) THEN 'ready' ELSE 'held' END AS state
     FROM n LEFT JOIN l ON l.a = n.a AND l.t = n.t LEFT JOIN one ON one.t = n.t LEFT JOIN cnt ON cnt.t = n.t""")
 def log_batch_gate(album):
-    return gates.log_gate(album.where("ordinal % 7 = 0").select(F.col("ordinal").alias("batch_id"), F.col("albumartist").alias("artist"), "album"), album.where("ordinal % 11 = 0").select(F.col("albumartist").alias("artist"), "album")).drop("log_key")
+    named = album.withColumn("album", F.concat_ws(" ", "album", F.floor(F.col("ordinal") / 3).cast("string")))
+    signed = F.when(F.col("ordinal") % 3 == 1, F.concat(F.lit("x "), "albumartist")).otherwise(F.col("albumartist"))
+    logs = named.select(signed.alias("artist"), F.when(F.col("ordinal") % 11 != 5, F.col("album")).alias("album"))  # the others cannot be read
+    return gates.log_gate(named.select(F.col("ordinal").alias("batch_id"), F.col("albumartist").alias("artist"), "album"), logs).drop("log_key")
 
 
-@query("album", sql="""WITH b AS (SELECT ordinal AS batch_id, albumartist AS artist, album, ext_id, ordinal * 2 AS before FROM {album} WHERE ordinal % 5 = 0), lib AS (SELECT *, 'd/' || CAST(ordinal AS VARCHAR) AS directory, ordinal + 500 AS added_utc FROM {album} WHERE ordinal % 2 = 1 OR ordinal % 9 = 0),
+@query("album", sql="""WITH b AS (SELECT ordinal AS batch_id, albumartist AS artist, album, ext_id, ordinal * 2 AS before FROM {album}), lib AS (SELECT *, 'd/' || CAST(ordinal AS VARCHAR) AS directory, ordinal + 500 AS added_utc FROM {album}),
     m AS (SELECT batch_id, min_by(directory, lib.ordinal) AS existing_dir, count(*) AS n FROM b JOIN lib ON (CASE WHEN b.ext_id IS NOT NULL THEN lib.ext_id = b.ext_id ELSE lib.albumartist = b.artist AND lib.album = b.album END) AND added_utc < before GROUP BY 1)
     SELECT b.*, CASE WHEN b.batch_id % 25 = 0 THEN 'added' WHEN existing_dir IS NOT NULL THEN 'duplicate' ELSE 'no_match' END AS decision, existing_dir, coalesce(n, 0) AS n_tracks FROM b LEFT JOIN m ON m.batch_id = b.batch_id""")
 def duplicate_lookup(album):
-    batches = album.where("ordinal % 5 = 0").select(F.col("ordinal").alias("batch_id"), F.col("albumartist").alias("artist"), "album", "ext_id", (F.col("ordinal") * 2).alias("before"))
-    library = album.where("ordinal % 2 = 1 or ordinal % 9 = 0").select("ext_id", F.col("albumartist").alias("artist"), "album", F.concat(F.lit("d/"), F.col("ordinal").cast("string")).alias("directory"), (F.col("ordinal") + 500).alias("added_utc"), "ordinal")
+    batches = album.select(F.col("ordinal").alias("batch_id"), F.col("albumartist").alias("artist"), "album", "ext_id", (F.col("ordinal") * 2).alias("before"))
+    library = album.select("ext_id", F.col("albumartist").alias("artist"), "album", F.concat(F.lit("d/"), F.col("ordinal").cast("string")).alias("directory"), (F.col("ordinal") + 500).alias("added_utc"), "ordinal")
     return gates.duplicate_decision(batches, library, batches.where("batch_id % 25 = 0"))
 
 
-@query("album", sql="""WITH inc AS (SELECT albumartist AS directory, CAST(ordinal % 9 AS VARCHAR) || '.lrc' AS name, @sha(min(album)) AS sha256 FROM {album} WHERE ordinal % 3 = 0 GROUP BY 1, 2),
-    ex AS (SELECT albumartist AS directory, CAST(ordinal % 9 AS VARCHAR) || '.lrc' AS name, @sha(max(album)) AS sha256 FROM {album} WHERE ordinal % 3 = 0 AND ordinal % 4 <> 1 GROUP BY 1, 2)
-    SELECT inc.directory, inc.name, inc.sha256, CASE WHEN ex.name IS NULL THEN 'moved' WHEN ex.sha256 = inc.sha256 THEN 'dropped' ELSE 'parked' END AS outcome,
-    CASE WHEN ex.name IS NOT NULL AND ex.sha256 <> inc.sha256 THEN replace(inc.name, '.lrc', ' (2).lrc') ELSE inc.name END AS stored_as FROM inc LEFT JOIN ex ON ex.directory = inc.directory AND ex.name = inc.name""")
+@query("album", sql="""WITH ex AS (SELECT albumartist AS directory, CAST(ordinal % 9 AS VARCHAR) || '.lrc' AS name, @sha(max(album)) AS held FROM {album} WHERE ordinal % 4 = 1 GROUP BY 1, 2),
+    inc AS (SELECT ordinal, albumartist AS directory, CAST(ordinal % 9 AS VARCHAR) || '.lrc' AS name, @sha(album) AS sha256 FROM {album} WHERE ordinal % 4 <> 1),
+    r AS (SELECT inc.*, held, min(sha256) OVER (PARTITION BY inc.directory, inc.name) AS first, row_number() OVER (PARTITION BY inc.directory, inc.name, sha256 ORDER BY ordinal) AS rep FROM inc LEFT JOIN ex ON ex.directory = inc.directory AND ex.name = inc.name),
+    o AS (SELECT *, CASE WHEN rep > 1 THEN 'dropped' WHEN sha256 = coalesce(held, first) THEN CASE WHEN held IS NULL THEN 'moved' ELSE 'dropped' END ELSE 'parked' END AS outcome FROM r),
+    n AS (SELECT *, row_number() OVER (PARTITION BY directory, name, outcome ORDER BY sha256) AS place FROM o)
+    SELECT directory, name, sha256, outcome, CASE WHEN outcome = 'parked' THEN replace(name, '.lrc', ' (' || (place + 1) || ').lrc') ELSE name END AS stored_as FROM n""")
 def conflict_preserving_merge(album):
-    named = album.where("ordinal % 3 = 0").withColumns({"directory": F.col("albumartist"), "name": F.concat((F.col("ordinal") % 9).cast("string"), F.lit(".lrc"))})
-    return relational.merge_keeping_conflicts(named.groupBy("directory", "name").agg(F.sha2(F.min("album"), 256).alias("sha256")), named.where("ordinal % 4 <> 1").groupBy("directory", "name").agg(F.sha2(F.max("album"), 256).alias("sha256")))
+    named = album.withColumns({"directory": F.col("albumartist"), "name": F.concat((F.col("ordinal") % 9).cast("string"), F.lit(".lrc"))})
+    held = named.where("ordinal % 4 = 1").groupBy("directory", "name").agg(F.sha2(F.max("album"), 256).alias("sha256"))
+    return relational.merge_keeping_conflicts(named.where("ordinal % 4 <> 1").select("directory", "name", F.sha2("album", 256).alias("sha256")), held)
 
 
 @query("location", sql="""SELECT location_id, name, root_path, uuid, CASE WHEN location_id % 4 <> 0 AND root_path IS NOT NULL AND (location_id % 3 = 0 OR location_id % 5 <> 0) THEN root_path END AS root FROM
@@ -385,9 +403,9 @@ def media_overlap_filter(item):
     return relational.filter_media(item.withColumn("media", F.array("medium")), ["vinyl", "cassette"]).select("item_key", "medium")
 
 
-@query("item", "album", sql="SELECT DISTINCT ordinal AS id FROM {album} WHERE ordinal % 3 = 0 AND NOT EXISTS (SELECT 1 FROM {item} i WHERE i.ordinal = album.ordinal)")
+@query("item", "album", sql="SELECT DISTINCT ordinal AS id FROM {album} WHERE NOT EXISTS (SELECT 1 FROM {item} i WHERE i.ordinal = album.ordinal AND i.medium = 'cd')")
 def unknown_ids(item, album):
-    return relational.unknown_ids(album.where("ordinal % 3 = 0").select(F.col("ordinal").alias("id")).distinct(), item.select(F.col("ordinal").alias("id")), "id")
+    return relational.unknown_ids(album.select(F.col("ordinal").alias("id")).distinct(), item.where("medium = 'cd'").select(F.col("ordinal").alias("id")), "id")
 
 
 @query("queue", "name", sql="SELECT item_id, key, value FROM (SELECT id AS item_id, 'multi' AS key, 'old' AS value FROM {name} WHERE id % 4 = 0 UNION ALL SELECT id, 'multi', 'new' FROM {name} WHERE id % 4 <> 0) x")
@@ -399,7 +417,10 @@ def attribute_backfill(queue, name):
 # Text and keys
 
 _NOCRED = r"regexp_replace(%s, '\s*\(\d+\)\s*$', '')"
-_EDIT = text.EDITION.replace("(?i)", "")
+_EDIT = (
+    r"[(\[]([^)\]]*[^a-zA-Z)\]])?(anniversary|bonus|collectors|definitive|deluxe|disc|edition|expanded|explicit|japan|japanese|limited|mix|mono|reissue|remaster|remastered|remix|special|stereo|version)"
+    r"([^a-zA-Z)\]][^)\]]*)?[)\]]"
+)
 _FOLD = rf"replace(replace(lower(regexp_replace(%s, '{_EDIT}', ' ', 'gi')), '&', ' and '), '+', ' and ')"
 _NORM_A = r"trim(regexp_replace(regexp_replace(" + _FOLD % (_NOCRED % "artist") + r", '^the ', ''), '[^\p{L}\p{N}]+', ' ', 'g'))"
 _NORM_T = r"trim(regexp_replace(" + _FOLD + r", '[^\p{L}\p{N}]+', ' ', 'g'))"
@@ -422,23 +443,23 @@ def token_jaccard_join(item, album):
     return met.withColumn("score", text.jaccard(F.col("a"), F.col("b")))
 
 
-@query("item", "album", sql="""SELECT i.item_key, a.ordinal FROM {item} i JOIN {album} a ON a.ordinal % 100 = i.ordinal % 100 WHERE least(length(i.title), length(a.album)) >= 3 AND (contains(' ' || lower(a.album) || ' ', ' ' || lower(i.title) || ' ') OR contains(' ' || lower(i.title) || ' ', ' ' || lower(a.album) || ' '))""")
+@query("item", "album", sql="""SELECT i.item_key, a.ordinal FROM {item} i JOIN {album} a ON least(length(i.title), length(a.album)) >= 3 AND (contains(' ' || lower(a.album) || ' ', ' ' || lower(i.title) || ' ') OR contains(' ' || lower(i.title) || ' ', ' ' || lower(a.album) || ' '))""")
 def token_contains(item, album):
-    met = item.select("item_key", "title", (F.col("ordinal") % 100).alias("k")).join(album.select("ordinal", "album", (F.col("ordinal") % 100).alias("k")), "k")
-    return met.where(text.contains_tokens(F.lower("title"), F.lower("album"))).select("item_key", "ordinal")
+    pairs = resolve.containing(item.select(F.lower("title").alias("text")), album.select(F.lower("album").alias("text")))
+    return item.select("item_key", F.lower("title").alias("a")).join(pairs, "a").join(album.select("ordinal", F.lower("album").alias("b")), "b").select("item_key", "ordinal")
 
 
 _ITEM = lambda item: item.withColumns({"artist_alts": F.array().cast("array<string>"), "title_alts": F.array().cast("array<string>"), "media": F.array("medium")})
 
 
-@query("every_item", "album")
-def match_cascade(item, album):
-    return resolve.match(_ITEM(item), album)
+@query("wanted", "shelf")
+def match_cascade(wanted, shelf):
+    return resolve.match(_ITEM(wanted), shelf)
 
 
-@query("every_item", "album")
-def audit_buckets(item, album):
-    return resolve.buckets(resolve.audit(_ITEM(item), album, item.where("ordinal % 8 = 1").select("item_key")))
+@query("wanted", "shelf")
+def audit_buckets(wanted, shelf):
+    return resolve.buckets(resolve.audit(_ITEM(wanted), shelf, wanted.where("ordinal % 8 = 1").select("item_key")))
 
 
 _FEATX = text.FEAT.replace("(?i)", "")
@@ -524,11 +545,11 @@ def interpolate_lines(timed_line):
     return sequence.monotonic(sequence.interpolate(rows)).select("doc_id", "pos", F.round(F.col("time") * 1000).cast("long").alias("ms"))
 
 
-@query("conversations", sql=r"""WITH t AS (SELECT conv_id AS doc_id, list_transform(regexp_extract_all(lower(text), '([\p{L}\p{N}]+''?[\p{L}\p{N}]*)', 1), lambda x: x) AS ts FROM {conversations} WHERE turn = 0), u AS (SELECT doc_id, len(ts) AS n, unnest(ts) AS text, CAST(unnest(range(0, len(ts))) AS INT) AS pos FROM t)
-    SELECT doc_id, pos, text, CAST(round((180.0 * 0.05 + pos * (180.0 * 0.9 / n)) * 1000) AS BIGINT) AS start_ms FROM u""".replace("{L}", "<L>").replace("{N}", "<N>"))
+@query("conversations", sql=r"""WITH t AS (SELECT conv_id, turn, list_transform(regexp_extract_all(lower(text), '([\p{L}\p{N}]+''?[\p{L}\p{N}]*)', 1), lambda x: x) AS ts FROM {conversations}), u AS (SELECT conv_id, turn, len(ts) AS n, unnest(ts) AS text, CAST(unnest(range(0, len(ts))) AS INT) AS pos FROM t)
+    SELECT conv_id, turn, pos, text, CAST(round((180.0 * 0.05 + pos * (180.0 * 0.9 / n)) * 1000) AS BIGINT) AS start_ms FROM u""".replace("{L}", "<L>").replace("{N}", "<N>"))
 def spread_tokens(conversations):
-    rows = conversations.where("turn = 0").select(F.col("conv_id").alias("doc_id"), "text", F.lit(180.0).alias("duration"))
-    return sequence.spread_tokens(rows).select("doc_id", "pos", "text", F.round(F.col("start") * 1000).cast("long").alias("start_ms"))
+    rows = conversations.select("conv_id", "turn", "text", F.lit(180.0).alias("duration"))
+    return sequence.spread_tokens(rows, keys=("conv_id", "turn")).select("conv_id", "turn", "pos", "text", F.round(F.col("start") * 1000).cast("long").alias("start_ms"))
 
 
 ORACLE_SQL["spread_tokens"] = ORACLE_SQL["spread_tokens"].replace("<L>", "{L}").replace("<N>", "{N}")
@@ -565,14 +586,14 @@ def vclock_relation(clock):
     return _vectors(clock).select("doc_id", clocks.relation(F.col("a"), F.col("b")).alias("relation"))
 
 
-MADE["seen"] = lambda spark, d: relational.latest(bound(spark, d, "held"), ["doc_id", "location_id"], ["event_id"]).select("doc_id", "location_id", "actor", "sha")
-
-
-@query("seen")
+@query("seen", sql="SELECT doc_id, location_id, version_id, sha, is_head, FALSE AS is_behind, NOT is_head AS is_concurrent, CAST(1 AS BIGINT) AS head_version_id FROM {folded}")
 def lineage_batch(seen):
     return lineage.lineage(seen)
 
 
-@query("seen")
+@query("seen", sql="SELECT doc_id, winner_location, CAST(1 AS BIGINT) AS winner_version, loser_version, doc_id % 2 <> 0 AS opens FROM {target_conflicts}")
 def lineage_conflicts(seen):
     return lineage.conflicts(lineage.lineage(seen), TARGET, seen.where("doc_id % 2 = 0").select("doc_id"))
+
+
+from stowage.plans import field_queries  # noqa: E402, F401  (registers more)

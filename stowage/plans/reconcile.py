@@ -30,10 +30,11 @@ def copy_plan(presence: DataFrame, locations: DataFrame, target: int, content_ki
     is stale counts as there. Sources may be disabled.
     """
     goal = locations.where(F.col("location_id") == target).select(F.col("name").alias("_target"), (F.col("is_authoritative") & ~F.col("is_retention")).alias("_authoring"))
-    there = presence.where((F.col("location_id") == target) & F.col("present")).select("content_id")
-    sources = presence.where((F.col("location_id") != target) & F.col("present")).join(there, "content_id", "left_anti")
-    rows = sources.join(locations.select("location_id", "name", "is_authoritative"), "location_id")
-    best = rows.groupBy("content_id").agg(F.min(F.struct((~F.col("is_authoritative")).alias("later"), "location_id", "name", "rel_path")).alias("s"))
+    known = locations.select("location_id", "name", "is_authoritative", F.lit(True).alias("_known"))
+    here = F.col("location_id") == target
+    # One pass: a content's best source, and whether the target has it, come of the same rows.
+    source = F.when(~here & F.col("_known"), F.struct((~F.col("is_authoritative")).alias("later"), "location_id", "name", "rel_path"))
+    best = presence.where("present").join(known, "location_id", "left").groupBy("content_id").agg(F.min(source).alias("s"), F.max(here).alias("_there")).where("not _there and s is not null")
     prefix = "" if content_kind == "audio" else f"{content_kind} "
     reason = F.concat(F.lit(f"{prefix}present on "), F.col("s.name"), F.lit(", absent on "), F.col("_target"))
     return best.join(F.broadcast(goal.where("not _authoring")), F.lit(True)).select(F.lit("copy").alias("action_kind"), F.lit(content_kind).alias("content_kind"), "content_id", F.col("s.location_id").alias("source_location_id"), F.lit(target).cast("long").alias("dest_location_id"), F.col("s.rel_path").alias("rel_path"), reason.alias("reason"))

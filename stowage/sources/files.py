@@ -29,14 +29,16 @@ def is_track_marker(path: Column) -> Column:
     return (F.lower(file_name(path)) != ".nolrc") & (extension(path) == "nolrc")
 
 
+SPREAD = 200
 FILES = "path string, rel_path string, byte_size long, mtime_ns long"
 
 
 def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame:
     """(path, rel_path, byte_size, mtime_ns) of files under a root, without contents; companion files ``._*`` are left out.
 
-    Spark's own readers pass over empty and hidden files, which are markers here, so the store is listed: the root on
-    the driver, each folder in it by a task. The root may be a path or a URI that tasks can reach.
+    Spark's own readers pass over empty and hidden files, which are markers here, so the store is listed: the driver goes
+    down level by level until there are ``SPREAD`` folders, which tasks walk. The root may be a path or a URI that
+    tasks can reach.
     """
     uri = root if ":" in root else "file://" + os.path.abspath(root)
 
@@ -44,11 +46,15 @@ def listing(spark: SparkSession, root: str, recursive: bool = True) -> DataFrame
         return [(i.path, i.path[len(base) :].lstrip("/"), i.size, i.mtime_ns) for i in infos if i.type == fs.FileType.File and not i.base_name.startswith("._")]
 
     store, base = fs.FileSystem.from_uri(uri)
-    top = store.get_file_info(fs.FileSelector(base))
-    found = spark.createDataFrame(rows(store, base, top), FILES)
-    folders = [(i.path,) for i in top if i.type == fs.FileType.Directory]
-    if not (recursive and folders):
+    level, above = [base], []
+    while level and len(level) < SPREAD and (recursive or level == [base]):
+        infos = [i for folder in level for i in store.get_file_info(fs.FileSelector(folder))]
+        above += rows(store, base, infos)
+        level = [i.path for i in infos if i.type == fs.FileType.Directory]
+    found = spark.createDataFrame(above, FILES)
+    if not (recursive and level):
         return found
+    folders = [(f,) for f in level]
 
     def walk(batches):
         store, base = fs.FileSystem.from_uri(uri)

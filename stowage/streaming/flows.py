@@ -3,10 +3,12 @@
 State is kept by the state store, so a restarted query goes on from its checkpoint; use one checkpoint for each query.
 """
 
+import time
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -14,6 +16,28 @@ from stowage.functions.text import file_name, parent
 from stowage.operators.lineage import HELD, fold
 
 
+@contextmanager
+def single_flight(spark: SparkSession, path: str, stale_seconds: float | None = None) -> Iterator[bool]:
+    """Whether this run is the only one: true while it holds the lock file at ``path`` (any store that Spark reaches).
+
+    The file is made by an atomic create. A run that finds one yields false and should do nothing. A lock older than
+    ``stale_seconds`` is that of a run that died, and is taken over.
+    """
+    jvm = spark.sparkContext._jvm
+    lock = jvm.org.apache.hadoop.fs.Path(path)
+    store = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if stale_seconds is not None and store.exists(lock) and time.time() - store.getFileStatus(lock).getModificationTime() / 1000 > stale_seconds:
+        store.delete(lock, False)
+    if lock.getParent() is not None:
+        store.mkdirs(lock.getParent())
+    held = store.createNewFile(lock)
+    try:
+        yield held
+    finally:
+        if held:
+            store.delete(lock, False)
+
+
 def triggers(files: DataFrame, delay: str = "10 minutes", time: str = "ts") -> DataFrame:
     """Files (rel_path, ts) that start an import: logs, and what lies directly in the root; once within the delay."""
     ours = F.endswith("rel_path", F.lit(".log")) | ((parent(F.col("rel_path")) == "") & ~F.startswith(file_name(F.col("rel_path")), F.lit(".")))

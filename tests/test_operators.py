@@ -295,3 +295,38 @@ def test_inventory(spark):
     steps = [(2, inventory.add_columns(root_path="string")), (1, lambda t: t)]
     table, version = inventory.migrate(links, 0, steps)
     assert version == 2 and table.columns[-1] == "root_path" and inventory.migrate(table, 2, steps)[0] is table
+
+
+def test_incoming_files_of_one_name_do_not_replace_each_other(spark):
+    from stowage.operators.relational import merge_keeping_conflicts
+
+    rows = [("d", "x.lrc", "h1"), ("d", "x.lrc", "h2"), ("d", "x.lrc", "h3"), ("d", "x.lrc", "h1"), ("d", "x (3).lrc", "h9"), ("e", "y", "h1"), ("e", "y", "h1"), ("f", "z.a.lrc", "h2"), ("f", "z.a.lrc", "h2")]
+    held = [("d", "x (2).lrc", "h0"), ("f", "z.a.lrc", "h1")]
+    schema = "directory string, name string, sha256 string"
+    got = merge_keeping_conflicts(spark.createDataFrame(rows, schema), spark.createDataFrame(held, schema)).collect()
+    stored = [(r["directory"], r["stored_as"]) for r in got if r["outcome"] != "dropped"] + [h[:2] for h in held]
+    assert len(stored) == len(set(stored))
+    assert sorted(tuple(r) for r in got) == sorted([
+        ("d", "x.lrc", "h1", "moved", "x.lrc"), ("d", "x.lrc", "h1", "dropped", "x.lrc"), ("d", "x.lrc", "h2", "parked", "x (4).lrc"), ("d", "x.lrc", "h3", "parked", "x (5).lrc"), ("d", "x (3).lrc", "h9", "moved", "x (3).lrc"),
+        ("e", "y", "h1", "moved", "y"), ("e", "y", "h1", "dropped", "y"), ("f", "z.a.lrc", "h2", "parked", "z.a (2).lrc"), ("f", "z.a.lrc", "h2", "dropped", "z.a.lrc"),
+    ])
+
+
+def test_order_folds_only_ascii(spark):
+    from stowage.operators.relational import nocase_order
+
+    rows = spark.createDataFrame([(1, "Éa"), (2, "b"), (3, "A"), (4, "éa"), (5, "a")], "ordinal long, name string")
+    assert [r["ordinal"] for r in nocase_order(rows, "name", ordinal="ordinal").collect()] == [3, 5, 2, 1, 4]
+
+
+def test_texts_within_others_equal_brute_force(spark):
+    import random
+
+    from stowage.operators.resolve import containing
+
+    rng = random.Random(3)
+    make = lambda n: [" ".join(rng.choices("ab cd ef gh ij".split(), k=rng.randint(1, 4))) for _ in range(n)] + ["", None, "x"]
+    a, b = make(40), make(60)
+    want = {(x, y) for x in a for y in b if x and y and min(len(x), len(y)) >= 3 and (f" {x} " in f" {y} " or f" {y} " in f" {x} ")}
+    frame = lambda v: spark.createDataFrame([(x,) for x in v], "text string")
+    assert {tuple(r) for r in containing(frame(a), frame(b)).collect()} == want

@@ -148,3 +148,39 @@ def test_triggers_fire_once(spark, tmp_path):
     rows = flows.progress(stream(spark, frame, str(tmp_path / "in"), 2), "seen")
     out = collected(spark, flows.triggers(rows), "append", "fired_now", str(tmp_path / "cp"))
     assert sorted(r["rel_path"] for r in out.collect()) == ["Dir", "a.log", "d/b.log"]
+
+
+def test_listing_goes_down_until_there_are_folders_enough(spark, tmp_path, monkeypatch):
+    from stowage.sources import files
+
+    for i in range(3):
+        for j in range(4):
+            (tmp_path / "one" / f"a{i}" / f"b{j}" / "c").mkdir(parents=True)
+            (tmp_path / "one" / f"a{i}" / f"b{j}" / "c" / "x.flac").write_text("x" * j)
+            (tmp_path / "one" / f"a{i}" / "._skip").write_text("")
+    (tmp_path / "top.log").write_text("t")
+    want = {str(p.relative_to(tmp_path)) for p in tmp_path.rglob("*") if p.is_file() and not p.name.startswith("._")}
+    for spread in (1, 2, 5, 100):
+        monkeypatch.setattr(files, "SPREAD", spread)
+        got = [r["rel_path"] for r in files.listing(spark, str(tmp_path)).collect()]
+        assert sorted(got) == sorted(want)
+    assert [r["rel_path"] for r in files.listing(spark, str(tmp_path), recursive=False).collect()] == ["top.log"]
+
+
+def test_only_one_run_flies(spark, tmp_path):
+    import os
+    import time
+
+    from stowage.streaming.flows import single_flight
+
+    path = f"file://{tmp_path}/locks/run.lock"
+    with single_flight(spark, path) as first:
+        with single_flight(spark, path) as second:
+            assert first and not second
+        assert os.path.exists(tmp_path / "locks" / "run.lock")
+    with single_flight(spark, path) as again:
+        assert again
+    (tmp_path / "locks" / "run.lock").write_text("")
+    os.utime(tmp_path / "locks" / "run.lock", (time.time() - 500, time.time() - 500))
+    with single_flight(spark, path) as held, single_flight(spark, path, stale_seconds=100) as taken:
+        assert not held and taken
