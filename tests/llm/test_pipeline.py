@@ -1,11 +1,15 @@
 """The corpus pipeline: each stage against brute force on its own input, and the whole of it."""
 
+import hashlib
+import struct
+from collections import Counter
+
 import pytest
 
 import corpus_pipeline
 
 from .conftest import documents
-from .test_text_operators import brute_benchmark, brute_lines, brute_simhash, lower
+from .test_text_operators import brute_benchmark, brute_lines, brute_simhash, library, lower, sha
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -50,13 +54,58 @@ def test_stages_decide_as_brute_force_does(spark, folder):
     assert clean.columns == docs.columns
     assert sorted(map(str, rows_of(clean))) == sorted(str(r) for r in held if r[0] not in dirty)
 
-    assert stages["encoded"](spark, clean, folder).count() == clean.count()
+    assert outputs(stages["encoded"](spark, clean, folder)) == encodings(rows_of(clean))
+
+
+def encodings(rows):
+    lib, out = library(), Counter()
+    for doc_id, text in rows:
+        ids = lib.encode(text or "", add_special_tokens=False).ids
+        packed = struct.pack(f"<{len(ids)}I", *ids)
+        out[doc_id, len(ids), packed, hashlib.sha256(packed).hexdigest(), sha(lib.decode(ids, skip_special_tokens=False))] += 1
+    return out
+
+
+def outputs(encoded):
+    return Counter((r["doc_id"], r["n_tokens"], bytes(r["ids"]), r["ids_sha256"], r["decoded_sha256"]) for r in encoded.collect())
+
+
+def test_run_equals_brute_force(spark, folder):
+    """The whole pipeline against plain loops, stage after stage on what the loops keep."""
+    docs = rows_of(spark.read.parquet(f"{folder}/documents.parquet"))
+    docs = [r for r in docs if any(c.isalpha() for c in r[1] or "")]
+    bad, key = brute_lines(docs, 10, True)
+    seen, lined = set(), {}
+    for r in sorted(set(docs), key=lambda r: (r[0] is not None, r[0] or 0)):
+        kept = []
+        for line in r[1].split("\n"):
+            if key(line) not in bad or key(line) not in seen:
+                kept.append(line)
+            seen |= {key(line)} & bad
+        lined[r] = "\n".join(kept)
+    docs = [(r[0], lined[r]) for r in docs]
+    assert any(a != b[1] for b, a in lined.items())
+    _, groups = brute_simhash(docs)
+    best = {}
+    for r, g in zip(docs, groups):
+        rank = (r[0] is None, r[0] or 0)
+        if g not in best or rank < best[g][0]:
+            best[g] = (rank, r)
+    docs = [r for _, r in best.values()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{folder}/benchmark.parquet").collect()]
+    dirty = {k[0] for k in brute_benchmark(docs, items, 10) if k[5]}
+    docs = [r for r in docs if r[0] not in dirty]
+    assert outputs(corpus_pipeline.run(spark, folder)) == encodings(docs)
 
 
-def test_run_writes_each_stage(spark, folder):
-    got = corpus_pipeline.run(spark, folder)
-    assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(got.columns)
-    assert got.count() > 0 and got.where("n_tokens = 0 and length(ids) > 0").count() == 0
+def test_stages_keep_clashing_columns(spark, folder):
+    """Extra columns of names that operators use inside go through every filtering stage."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet").selectExpr("*", "'a' AS _row", "'b' AS _text", "'c' AS fp", "'d' AS keep", "'e' AS _key_id", "'f' AS hit", "'g' AS component")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, folder)
+        assert kept.columns == docs.columns
+        docs = kept
+    assert docs.where("_row = 'a' AND _text = 'b' AND fp = 'c' AND keep = 'd' AND _key_id = 'e' AND hit = 'f' AND component = 'g'").count() == docs.count() > 0
 
 
 def test_empty_documents(spark, folder, tmp_path):
@@ -67,4 +116,6 @@ def test_empty_documents(spark, folder, tmp_path):
 
 def test_every_stage_has_its_columns(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet")
-    assert docs.schema == spark.createDataFrame([], COLUMNS).schema
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert [(f.name, f.dataType) for f in stage(spark, docs, folder).schema] == [(f.name, f.dataType) for f in spark.createDataFrame([], COLUMNS).schema]
+    assert {"doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256"} <= set(corpus_pipeline.encoded(spark, docs, folder).columns)

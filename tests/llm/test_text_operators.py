@@ -435,6 +435,47 @@ def test_weak_parts_of_compound_names():
     assert reported("note: user=bob pin=1234\nbase_url: https://a.b/c http://d.e/f") == [("weak_id", "user=bob"), ("weak_secret", "pin=1234"), ("endpoint", "base_url: https://a.b/c"), ("endpoint", "http://d.e/f")]
 
 
+def brute_weak(text):
+    """Weak spans over lines of ``name sep value``, scope by scope, by the kinds that a table of names gives."""
+    kinds = {"user": "weak_id", "login": "weak_id", "client_id": "weak_id", "pwd": "weak_secret", "db_pass": "weak_secret", "host": "endpoint", "base_url": "endpoint", "color": None, "pass_rate": None}
+    out, at, scope = [], 0, []
+
+    def settle():
+        have = {k for _, k, _ in scope}
+        has_id, has_secret, has_endpoint = "weak_id" in have, bool(have & {"weak_secret", "assign"}), "endpoint" in have
+        complete = {"weak_id": has_secret, "weak_secret": has_id or has_endpoint, "endpoint": has_id and has_secret, "assign": True}
+        out.extend(p for p in scope if complete[p[1]])
+        scope.clear()
+
+    for line in text.split("\n"):
+        if not line.strip() or re.fullmatch(r"\[[^\]]*\]", line.strip()):
+            settle()
+        elif m := re.match(r"(\w+)( ?[=:] ?)(\S+)$", line):
+            kind = "assign" if m[1] == "token" and len(m[3]) >= 6 else kinds.get(m[1])
+            least = {"weak_id": 3, "weak_secret": 4, "endpoint": 3, "assign": 6}.get(kind)
+            if kind and len(m[3]) >= least:
+                scope.append((at, kind, at + len(line)))
+        at += len(line) + 1
+    settle()
+    order = list(secrets.KINDS)
+    return ",".join(f"{k}:{s}:{e}" for s, k, e in sorted(out, key=lambda p: (p[0], order.index(p[1]))))
+
+
+def test_weak_spans_equal_brute_force(spark):
+    rng, rows = random.Random(11), []
+    names = ["user", "login", "client_id", "pwd", "db_pass", "host", "base_url", "color", "pass_rate", "token"]
+    for i in range(400):
+        lines = []
+        for _ in range(rng.randint(0, 9)):
+            kind = rng.random()
+            value = "".join(rng.choices("ghkxyz", k=rng.randint(1, 8)))
+            lines.append("" if kind < 0.15 else "[part]" if kind < 0.25 else "plain words here" if kind < 0.35 else f"{rng.choice(names)}{rng.choice(['=', ' = ', ': '])}{value}")
+        rows.append((i, "\n".join(lines)))
+    got = {r["doc_id"]: r["spans"] for r in secrets.scan(documents(spark, rows)).collect()}
+    want = {i: brute_weak(t) for i, t in rows}
+    assert got == want and sum(map(bool, want.values())) > 50 and any("endpoint" in w for w in want.values())
+
+
 def test_secrets_empty_table(empty):
     assert secrets.scan(empty).count() == 0
 
@@ -578,6 +619,15 @@ def test_toxicity_edges(spark, edge_rows, empty):
     assert toxicity.toxicity(documents(spark, edge_rows), labels.limit(0)).count() == len(edge_rows)
 
 
+def test_toxicity_of_equal_texts_is_equal_and_one_label_gives_its_share(spark):
+    """Ties: rows of equal texts score alike, whatever their ids; labels of one kind give one score to all."""
+    docs = documents(spark, [(i, "same words here") for i in range(20)] + [(100 + i, None) for i in range(5)] + [(200, " ".join(f"w{i}" for i in range(30_000)))])
+    both = toxicity.toxicity(docs, spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")).collect()
+    assert len({r["score"] for r in both if r["doc_id"] < 20}) == 1 and len({r["score"] for r in both if 100 <= r["doc_id"] < 200}) == 1
+    one = toxicity.toxicity(docs, spark.createDataFrame([(i, 0) for i in range(20)], "doc_id long, toxic int")).collect()
+    assert len({r["score"] for r in one}) == 1 and one[0]["predicted"] == 0
+
+
 def test_toxicity_held_out(spark):
     rng = random.Random(9)
     rows, marks = [], []
