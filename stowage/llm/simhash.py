@@ -18,7 +18,6 @@ from stowage.llm.common import cut, shuffle_partitions, slices, starts
 
 CROWDED = 128  # a bucket up to this size is joined with itself
 CHUNK = 1024  # fingerprints of a crowded bucket in a chunk
-DEALT = 50_000  # fingerprints of a task that deals them out, at most
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -126,9 +125,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, max_bits: int = 3, blocks:
     Ids that are null never name a component; one of null ids only has a null component_id. Rows that repeat stay.
     """
     rows = cut(fingerprints(docs, words, id_col, text_col))
-    distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    # A fingerprint is few bytes, but each is dealt out under many keys: spread them by their number, not their size.
-    distinct = distinct.repartition(max(shuffle_partitions(docs.sparkSession), -(-distinct.count() // DEALT)), F.xxhash64("fp"))
+    distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    # A fingerprint is few bytes, but each is dealt out under many keys: partitions must not be coalesced by their bytes.
+    distinct = distinct.repartition(shuffle_partitions(docs.sparkSession), F.xxhash64("fp"))
     roots = components(near_links(distinct, max_bits, blocks))
     joined = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("component")))
     named = joined.groupBy("component").agg(F.min("least").alias("component_id"))

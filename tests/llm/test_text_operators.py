@@ -157,7 +157,7 @@ def test_simhash_components(spark, edge_rows, monkeypatch, crowded):
 
 def test_simhash_of_a_hot_fingerprint_and_a_crowd_around_it(spark, monkeypatch):
     """More copies of one text than a chunk holds, and more near copies than that, are one component."""
-    for name, value in {"CROWDED": 4, "CHUNK": 8, "DEALT": 5}.items():
+    for name, value in {"CROWDED": 4, "CHUNK": 8}.items():
         monkeypatch.setattr(simhash, name, value)
     rng, base = random.Random(3), [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(base)) for i in range(60)]
