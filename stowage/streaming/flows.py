@@ -10,6 +10,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stowage.functions.text import file_name, parent
@@ -44,23 +45,42 @@ def triggers(files: DataFrame, delay: str = "10 minutes", time: str = "ts") -> D
     return files.where(ours).withWatermark(time, delay).dropDuplicatesWithinWatermark(["rel_path"])
 
 
+class Discs(StatefulProcessor):
+    """The disc numbers and totals that a group has shown so far, as state of their own keys: one small write a new number."""
+
+    def __init__(self, key: str):
+        self.key = key
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.numbers = handle.getMapState("numbers", "n int", "seen boolean")
+        self.totals = handle.getMapState("totals", "n int", "seen boolean")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        for frame in rows:
+            for state, column in ((self.numbers, "disc_no"), (self.totals, "disc_total")):
+                for n in frame[column].dropna().unique():
+                    if not state.containsKey((int(n),)):
+                        state.updateValue((int(n),), (True,))
+        have, totals = sum(1 for _ in self.numbers.keys()), [int(n[0]) for n in self.totals.keys()]
+        need = totals[0] if len(totals) == 1 else 1
+        yield pd.DataFrame({self.key: [key[0]], "have": [have], "need": [need], "ready": [not (need > 1 and have < need)]})
+
+    def close(self) -> None:
+        pass
+
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def completeness(discs: DataFrame, key: str = "album_key") -> DataFrame:
     """(key, have, need, ready) whenever a group changes; discs: key, disc_no, disc_total.
 
-    A group waits while its rows agree on a total above 1 and fewer numbers have come.
+    A group waits while its rows agree on a total above 1 and fewer numbers have come. Nulls count for nothing. State is
+    kept in RocksDB, which this sets for the session's streams.
     """
+    discs.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     kind = discs.schema[key].dataType.simpleString()
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        numbers, totals = map(set, state.get) if state.exists else (set(), set())
-        for frame in frames:
-            numbers |= {int(n) for n in frame["disc_no"].dropna()}
-            totals |= {int(n) for n in frame["disc_total"].dropna()}
-        state.update((sorted(numbers), sorted(totals)))
-        need = max(totals) if len(totals) == 1 else 1
-        yield pd.DataFrame({key: [group[0]], "have": [len(numbers)], "need": [need], "ready": [not (need > 1 and len(numbers) < need)]})
-
-    return discs.groupBy(key).applyInPandasWithState(step, f"{key} {kind}, have int, need int, ready boolean", "numbers array<int>, totals array<int>", "update", GroupStateTimeout.NoTimeout)
+    return discs.groupBy(key).transformWithStateInPandas(Discs(key), f"{key} {kind}, have int, need int, ready boolean", "Update", "None")
 
 
 def lineage(observations: DataFrame) -> DataFrame:
