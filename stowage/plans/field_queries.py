@@ -57,6 +57,16 @@ def small_fields(field):
     )
 
 
+@query("field", sql="""SELECT id, CAST(CASE id % 4 WHEN 0 THEN least(id % 500, 300) WHEN 1 THEN 100 WHEN 2 THEN 60 ELSE 0 END AS DOUBLE) AS wait, CASE id % 4 WHEN 0 THEN directory || ' — t' || id WHEN 1 THEN directory WHEN 2 THEN 't' || id ELSE 'k' || id END AS label, 'n' || id AS bare FROM {field}""")
+def waits_and_labels(field):
+    k = F.col("id")
+    now = F.unix_timestamp(F.lit("2015-10-21 07:28:00")) - 100
+    header = F.when(k % 4 == 0, F.concat(F.lit(" "), (k % 500).cast("string"))).when(k % 4 == 1, "Wed, 21 Oct 2015 07:28:00 GMT").when(k % 4 == 2, "soon").otherwise("-5")
+    name, shown = F.when(k % 4 < 2, F.col("directory")).otherwise(""), F.when(k % 4 % 2 == 0, F.concat(F.lit("t"), k.cast("string")))
+    mixed = F.concat(F.when(k % 2 == 0, "夜想曲 / ").otherwise(""), F.lit("n"), k.cast("string"), F.when(k % 2 == 1, " - 昼").otherwise(""))
+    return field.select("id", text.retry_seconds(header, now).alias("wait"), text.label(name, shown, F.concat(F.lit("k"), k.cast("string"))).alias("label"), text.strip_cjk(mixed).alias("bare"))
+
+
 @query("documents", sql="""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md5(coalesce(text, '')) ELSE @sha('x' || coalesce(text, '')) END AS identity, CASE WHEN doc_id % 3 = 0 THEN 'audio_md5' ELSE 'file_sha256' END AS identity_kind, CASE WHEN doc_id % 2 = 0 THEN 'image/png' ELSE 'image/jpeg' END AS image,
     @sha(regexp_replace(strip_accents(coalesce(text, '')), '[^\\x00-\\x7F]', '', 'g')) AS ascii_sha FROM {documents}""".replace("@sha", "sha256"))
 def content_keys(documents):
@@ -416,9 +426,20 @@ _STORED = """SELECT doc_id, location_id, CASE kind WHEN 'same' THEN 'b' || doc_i
     (SELECT d.doc_id, CAST(l.location_id AS BIGINT) AS location_id, CASE WHEN l.location_id = 1 THEN CASE WHEN d.doc_id % 3 = 0 THEN 'linear' ELSE 'same' END WHEN l.location_id = 2 THEN CASE WHEN d.doc_id % 4 = 0 THEN 'edit' ELSE 'old' END ELSE 'same' END AS kind FROM {doc} d CROSS JOIN (SELECT 1 AS location_id UNION ALL SELECT 2 UNION ALL SELECT 3) l) x"""
 
 
+@query("doc", "stored_version", sql=f"""WITH o AS ({_STORED}) SELECT doc_id, location_id, sha, CASE WHEN kind = 'edit' THEN 'concurrent' ELSE 'behind' END AS relation FROM o WHERE kind IN ('old', 'edit') OR (kind = 'same' AND doc_id % 3 = 0)""")
+def stale_copies(doc, stored_version):
+    held = _against_stored(doc, stored_version)
+    said = lambda rows, what: rows.select("doc_id", "location_id", "sha", F.lit(what).alias("relation"))
+    return said(lineage.concurrent(held), "concurrent").unionByName(said(lineage.behind(held), "behind"))
+
+
 @query("doc", "stored_version", sql=f"""WITH o AS ({_STORED}) SELECT doc_id, location_id, sha, CASE kind WHEN 'old' THEN CAST(1 AS BIGINT) WHEN 'same' THEN 2 WHEN 'linear' THEN 3 ELSE CASE WHEN doc_id % 3 = 0 THEN 4 ELSE 3 END END AS version_id,
     kind = 'linear' OR (kind = 'same' AND doc_id % 3 <> 0) AS is_head, kind = 'old' OR (kind = 'same' AND doc_id % 3 = 0) AS is_behind, kind = 'edit' AS is_concurrent, CASE WHEN doc_id % 3 = 0 THEN CAST(3 AS BIGINT) ELSE 2 END AS head_version_id FROM o""")
 def lineage_stored(doc, stored_version):
+    return _against_stored(doc, stored_version)
+
+
+def _against_stored(doc, stored_version):
     """Against versions 1 and 2 (the head, which some documents have lost and adopt): location 1 holds the head and goes on
     from it in every third document, location 2 holds version 1 and edits it in every fourth, location 3 holds the head."""
     k, at = F.col("doc_id"), F.col("location_id")
