@@ -282,7 +282,10 @@ def audit_report(album):
 
 def _folder(spark):
     """A new folder under the checkpoint folder, or under /tmp in a local session, for what a query stores and reads back."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file:///tmp/checkpoints"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or "file:///tmp/checkpoints"
     return f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
 
 
