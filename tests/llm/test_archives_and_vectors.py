@@ -109,6 +109,23 @@ def test_a_merge_reads_one_block_of_each_run_at_a_time(tmp_path):
     assert list(warc.read_blocks(store, str(tmp_path), blocks, low, high)) == rows[1000:3000]
 
 
+def test_archives_go_once_read_unless_kept(spark):
+    import glob
+    import os
+
+    from stowage.llm.common import shared_dir
+
+    pages = spark.createDataFrame([(i, f"http://a.org/{i}", "x" * 2000) for i in range(20)], "page_id long, url string, html string")
+    held = lambda: set(glob.glob(f"{shared_dir(spark).removeprefix('file://')}/warc-*"))
+    before = held()
+    assert warc.archive_round_trip(pages).count() == 20 and held() == before
+    kept = warc.archive_round_trip(pages, keep=True)
+    assert kept.where("record_type = 'revisit'").count() == 19
+    (folder,) = held() - before
+    assert any(f.endswith(".warc.gz") for f in os.listdir(folder)) and not any(f.endswith(".part") for f in os.listdir(folder))
+    warc.remove(spark, f"file://{folder}")
+
+
 def test_no_pages(spark):
     assert warc.archive_round_trip(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
