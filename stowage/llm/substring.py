@@ -17,7 +17,7 @@ occurrences of an edge have the same minimizer at the same place, so they meet i
 Equal records of a block of documents are known to be repeated there and then: their paths leave under scattered keys,
 and one record stands for them all. So a passage that a third of the corpus holds costs its minimizer one short record a
 block, and equal ones of those are merged again while they stream by. A minimizer that many documents of a bounded sample
-have, in whatever surroundings, deals its edges out one by one, by their own hash.
+have, in whatever surroundings, deals out the edges of what is left one by one, by their own hash.
 """
 
 from __future__ import annotations
@@ -186,18 +186,15 @@ def edge_records(docs: DataFrame, window: int, anchor: int) -> DataFrame:
             return None
         ends = np.cumsum(sizes)
         found = Edges(sizes, values, window, anchor)
-        edge, place, starts, piece, key = found.edge, found.place, found.starts, found.piece, found.minimizer
+        edge, place, starts, piece = found.edge, found.place, found.starts, found.piece
         if not len(starts):
             return None
-        if len(hot.value):
-            among = hot.value[np.minimum(np.searchsorted(hot.value, key), len(hot.value) - 1)] == key
-            key = np.where(among, _mixed(key ^ edge), key)
         new = np.ones(len(starts), bool)
-        new[1:] = (np.diff(starts) != 1) | (place[starts[1:]] != place[starts[:-1]]) | (key[starts[1:]] != key[starts[:-1]])
+        new[1:] = (np.diff(starts) != 1) | (place[starts[1:]] != place[starts[:-1]])
         first = np.flatnonzero(new)
         count = np.diff(np.append(first, len(starts)))
         head, tail = starts[first], starts[first + count - 1]
-        minimizer = key[head]
+        minimizer = found.minimizer[head]
         with np.errstate(over="ignore"):  # first and last edge have all words of a record, as it is no longer than an edge
             same = _mixed(edge[head] * np.uint64(3) + edge[tail] * np.uint64(5) + count.astype(np.uint64)) ^ minimizer
         _, kept, group, times = np.unique(same, return_index=True, return_inverse=True, return_counts=True)
@@ -213,18 +210,28 @@ def edge_records(docs: DataFrame, window: int, anchor: int) -> DataFrame:
         paths = coordinates(head[np.argsort(group, kind="stable")][np.repeat(times > 1, times)])
         take = np.repeat(first[kept] - np.append(0, np.cumsum(count[kept])[:-1]), count[kept]) + np.arange(count[kept].sum())
         packed = edge[starts[take]].view(np.uint8).reshape(-1, 8)[:, :WIDTH].tobytes()
-        m, repeated = len(kept), np.flatnonzero(times > 1)
+        repeated = np.flatnonzero(times > 1)
+        # What is left of a hot minimizer is dealt out edge by edge.
+        length, among = count[kept], np.zeros(len(kept), bool)
+        if len(hot.value):
+            among = hot.value[np.minimum(np.searchsorted(hot.value, minimizer[kept]), len(hot.value) - 1)] == minimizer[kept]
+        rows = np.where(among, length, 1)
+        record, m = np.repeat(np.arange(len(kept)), rows), int(rows.sum())
+        offset = np.arange(m) - np.repeat(np.cumsum(rows) - rows, rows)
+        dealt = minimizer[kept][record]
+        each = among[record]
+        dealt[each] = _mixed(dealt[each] ^ edge[starts[take[((np.cumsum(length) - length)[record] + offset)[each]]]])
         short = np.uint64((1 << 8 * WIDTH) - 1)
         uid = path_ids(minimizer[kept], edge[head[kept]] & short, edge[tail[kept]] & short, count[kept])[repeated].view(np.int64)
         spread = _mixed((paths["b"] + paths["start"])[np.cumsum(times[repeated]) - times[repeated]].astype(np.uint64)) if len(repeated) else np.zeros(0, np.uint64)
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(np.concatenate([minimizer[kept], spread]).view(np.int64)),
-                _binary(np.concatenate([count[kept] * WIDTH, np.zeros(len(repeated), np.int64)]), packed),
-                pa.array(np.concatenate([np.minimum(times, 2), np.zeros(len(repeated), np.int64)]).astype(np.int32)),
+                pa.array(np.concatenate([dealt, spread]).view(np.int64)),
+                _binary(np.concatenate([np.where(each, 1, length[record]) * WIDTH, np.zeros(len(repeated), np.int64)]), packed),
+                pa.array(np.concatenate([np.minimum(times, 2)[record], np.zeros(len(repeated), np.int64)]).astype(np.int32)),
                 pa.array(np.concatenate([np.zeros(m, np.int64), count[kept][repeated]]).astype(np.int32)),
                 pa.array(np.concatenate([np.zeros(m, np.int64), uid])),
-                _binary(np.concatenate([np.full(m, PLACES.itemsize), times[repeated] * PLACES.itemsize]), coordinates(head[kept]).tobytes() + paths.tobytes()),
+                _binary(np.concatenate([np.full(m, PLACES.itemsize), times[repeated] * PLACES.itemsize]), coordinates(head[kept][record] + offset).tobytes() + paths.tobytes()),
             ],
             RECORD,
         )
