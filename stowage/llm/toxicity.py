@@ -95,8 +95,9 @@ def fit(texts: list, labels, factors: int = FACTORS, steps: int = STEPS, rate: f
     rows = [machine.places(t).astype(np.int32) for t in texts]
     known = np.array([len(r) for r in rows])
     penalty = least_z * np.sqrt(share * (1 - share) / count)  # of each of a term's texts
+    by_factor = np.ascontiguousarray(vectors.T)
     for paired in (False, True):
-        gw, gv = np.full(n, 1e-2), np.full(vectors.shape, 1e-2)
+        gw, gv = np.full(n, 1e-2), np.full(by_factor.shape, 1e-2)
         for _ in range(-(-(steps if paired else FIRST_STEPS) // -(-len(rows) // BATCH))):
             order = rng.permutation(len(rows))
             for at in range(0, len(order), BATCH):
@@ -108,10 +109,9 @@ def fit(texts: list, labels, factors: int = FACTORS, steps: int = STEPS, rate: f
                 sizes = known[filled]
                 idx, own, starts = np.concatenate([rows[i] for i in filled]), np.repeat(np.arange(len(filled)), sizes), np.cumsum(sizes) - sizes
                 z = machine.bias + np.add.reduceat(weights[idx], starts)
-                if paired:
-                    v = vectors[idx]
-                    s = np.add.reduceat(v, starts)
-                    z += 0.5 * ((s * s).sum(1) - np.add.reduceat((v * v).sum(1), starts)) / sizes
+                if paired:  # factor by factor, as sums along one long axis are fast
+                    s = [np.add.reduceat(v[idx], starts) for v in by_factor]
+                    z += 0.5 * (sum(x * x for x in s) - np.add.reduceat((by_factor * by_factor).sum(0)[idx], starts)) / sizes
                 error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[filled]
                 machine.bias -= rate * error.sum() / len(batch)
                 e, seen = error[own], np.bincount(idx, minlength=n)
@@ -122,10 +122,15 @@ def fit(texts: list, labels, factors: int = FACTORS, steps: int = STEPS, rate: f
                 moved = weights[touched] - step * dw
                 weights[touched] = np.sign(moved) * np.maximum(np.abs(moved) - step * penalty[touched] * seen[touched], 0)
                 if paired:
-                    dv = np.stack([np.bincount(idx, e / sizes[own] * (s[own, f] - v[:, f]), n)[touched] for f in range(factors)], 1) + VECTOR_DECAY * len(batch) * vectors[touched]
-                    gv[touched] += dv * dv
-                    vectors[touched] -= rate * dv / np.sqrt(gv[touched])
+                    share_of = error / sizes
+                    alone = np.bincount(idx, share_of[own], n)[touched]  # a term is no pair with itself
+                    for f in range(factors):
+                        v = by_factor[f, touched]
+                        dv = np.bincount(idx, (share_of * s[f])[own], n)[touched] - alone * v + VECTOR_DECAY * len(batch) * v
+                        gv[f, touched] += dv * dv
+                        by_factor[f, touched] = v - rate * dv / np.sqrt(gv[f, touched])
         penalty[weights != 0] = 0
+    machine.vectors = np.ascontiguousarray(by_factor.T)
     return machine
 
 
