@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import ann, bpe, decontam, langid, linededup, secrets, simhash, substring, toxicity, warc
+from stowage.llm import ann, bpe, decontam, langid, linededup, mixing, secrets, simhash, substring, toxicity, warc
 from stowage.llm.common import table
 
 
@@ -51,9 +51,13 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
 
+def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_langid, op2_bpe, op3_toxicity, op4_simhash, op5_substring, op6_lines, op7_warc, op8_decontaminate, op9_multi_index, op10_secrets)
+    for f in (op1_langid, op2_bpe, op3_toxicity, op4_simhash, op5_substring, op6_lines, op7_warc, op8_decontaminate, op9_multi_index, op10_secrets, op13_mix)
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -100,4 +104,20 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(hits.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items,
                sha256(coalesce(its.s, '')) AS items_sha256, coalesce(hits.n, 0) > 0 AS contaminated
         FROM d LEFT JOIN hits ON hits.doc_id = d.doc_id LEFT JOIN its ON its.doc_id = d.doc_id""",
+    "op13_mix": r"""
+        WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                          CAST('0x' || substr(md5(concat_ws(':', 'mix', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')))), 1, 13) AS BIGINT) AS u FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS HUGEINT) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS place FROM d GROUP BY source),
+        w AS (SELECT source, n, [3, 1, 2][CAST((place - 1) % 3 + 1 AS INTEGER)] AS w FROM s),
+        f AS (SELECT *, coalesce(sum(4 * n) OVER before, 0) AS caps, coalesce(sum(w) OVER before, 0) AS ws, sum(n) OVER () AS words, sum(w) OVER () AS weights
+              FROM w WINDOW before AS (ORDER BY n * (6 // w), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+        m AS (SELECT *, 4 * n * (weights - ws) <= w * (3 * words - caps) AS stops FROM f),
+        x AS (SELECT *, 3 * words - sum(CASE WHEN stops THEN 4 * n ELSE 0 END) OVER () AS rest, weights - sum(CASE WHEN stops THEN w ELSE 0 END) OVER () AS open FROM m),
+        t AS (SELECT source, CAST(n AS BIGINT) AS n, CASE WHEN stops THEN CAST(2 * n AS DOUBLE) ELSE CAST(w * rest AS DOUBLE) / CAST(greatest(open, 1) * 2 AS DOUBLE) END AS target FROM x),
+        g AS (SELECT *, CAST(floor(target + 0.5) AS BIGINT) AS goal FROM t),
+        p AS (SELECT *, CASE WHEN n > 0 THEN goal // n ELSE 0 END AS copies FROM g),
+        q AS (SELECT d.*, p.n, p.target, p.copies, p.goal - p.copies * p.n AS missing, (d.u + 0.5) / 4503599627370496.0::DOUBLE AS r FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source),
+        o AS (SELECT *, CASE WHEN missing > 0 THEN (r / (1 - r)) / ((CAST(missing AS DOUBLE) / CAST(n AS DOUBLE)) / (1 - CAST(missing AS DOUBLE) / CAST(n AS DOUBLE))) END AS odds FROM q),
+        c AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY odds, u, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS used FROM o)
+        SELECT doc_id, size, n AS source_size, target, CAST(copies * size + least(greatest(missing - used, 0), size) AS BIGINT) AS taken FROM c""",
 }
