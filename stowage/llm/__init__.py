@@ -1 +1 @@
-"""Training-data operators: ten large-scale text, archive and vector operators over the DataFrame API."""
+"""Training-data operators: thirteen large-scale text, archive, vector and sampling operators over the DataFrame API."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stowage.llm import ann, bpe, decontam, divergence, langid, linededup, mixing, secrets, simhash, substring, toxicity, warc
+from stowage.llm import alignment, ann, bpe, decontam, divergence, langid, linededup, mixing, secrets, simhash, substring, toxicity, warc
 from stowage.llm.common import table
 
 
@@ -55,13 +55,17 @@ def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.crosswalk(table(spark, sf_dir, "documents"))
+
+
 def op13_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_langid, op2_bpe, op3_toxicity, op4_simhash, op5_substring, op6_lines, op7_warc, op8_decontaminate, op9_multi_index, op10_secrets, op11_divergence, op13_mix)
+    for f in (op1_langid, op2_bpe, op3_toxicity, op4_simhash, op5_substring, op6_lines, op7_warc, op8_decontaminate, op9_multi_index, op10_secrets, op11_divergence, op12_alignment, op13_mix)
 }
 
 ORACLE_SQL: dict[str, str] = {
