@@ -25,6 +25,7 @@ from stowage.llm.common import cut, slices, small_batches, worker_state
 from stowage.scratch import new_folder
 
 PIECE = 1 << 18  # characters after which a text is cut at the next single space
+UNBROKEN = 1 << 20  # characters of a piece that may be encoded at once
 BATCH = 1 << 20  # characters of pieces that are aligned at once
 TABLE = 1 << 19  # pairs of the table that is broadcast, 17 bytes each
 HELD = 1 << 20  # pairs that a task adds up before it hands them on
@@ -60,8 +61,9 @@ class Pair:
 
         self.a = bpe.Transducer(definition)
         self.a.special_split, self.a.special = None, {}  # their strings are plain text here
-        known = bpe.byte_alphabet()
-        a_bytes = {i: bytes(known[c] for c in t) for t, i in json.loads(definition)["model"]["vocab"].items() if all(c in known for c in t)}
+        known, spec = bpe.byte_alphabet(), json.loads(definition)["model"]
+        a_bytes = {i: bytes(known[c] for c in t) for t, i in spec["vocab"].items() if all(c in known for c in t)}
+        self.merger = self._merger(spec, a_bytes)
         self.b = sentencepiece.SentencePieceProcessor(model_proto=model)
         named = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         if any("▁" in p.lstrip("▁") for p in named):
@@ -74,15 +76,33 @@ class Pair:
         self.a_text = [f"{i}{end}" for i in range(len(self.a_bytes)) for end in ",|"]
         self.b_text = [f"{i}{end}" for i in range(len(b_bytes)) for end in ",;"]
 
+    @staticmethod
+    def _merger(spec: dict, a_bytes: dict[int, bytes]):
+        """The library that merges by the rank of the whole, if ids are in the order of the merges; else None."""
+        import tiktoken
+
+        made = [spec["vocab"]["".join(m.split(" ") if isinstance(m, str) else m)] for m in spec["merges"]]
+        if len(set(made)) < len(made) or made != sorted(made) or len({a_bytes.get(i) for i in range(256)} & {bytes([b]) for b in range(256)}) < 256:
+            return None
+        ranks = {a_bytes[i]: i for i in [*range(256), *made]}
+        return tiktoken.Encoding("ranks", pat_str=bpe._filled(bpe.ANY_TEXT), mergeable_ranks=ranks, special_tokens={})
+
     def encode(self, piece: str):
-        """Ids of both sides for a space and the piece; None if either side's bytes are others."""
+        """Ids of both sides for a space and the piece; None if either side's bytes are others.
+
+        A long piece without any cut goes through the transducer, whose memory doesn't grow with it.
+        """
         import numpy as np
 
         wanted = b" " + piece.encode()
-        a = np.frombuffer(b"".join(self.a.encode(" " + piece)), "<u4")
-        b = np.array(self.b.encode(piece, num_threads=1), np.uint32)
-        whole = lambda ids, of: b"".join(map(of.__getitem__, ids.tolist())) == wanted
-        return (a, b) if whole(a, self.a_bytes) and whole(b, self.b_bytes) else None
+        if self.merger and len(piece) <= UNBROKEN:
+            a = self.merger.encode_to_numpy(" " + piece, disallowed_special=())
+        else:
+            a = np.frombuffer(b"".join(self.a.encode(" " + piece)), "<u4")
+        of_b = self.b.encode(piece, num_threads=1)
+        b = np.array(of_b, np.uint32)
+        whole = int(self.a_size[a].sum()) == len(wanted) and b"".join(map(self.b_bytes.__getitem__, of_b)) == wanted
+        return (a, b) if whole else None
 
 
 class Bits:

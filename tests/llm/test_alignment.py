@@ -91,6 +91,16 @@ def test_pieces_of_a_long_text_are_aligned_alike(libraries):
         assert [i for p in parts for i in p[0].tolist()] == a.tolist() and [i for p in parts for i in p[1].tolist()] == b.tolist()
 
 
+def test_a_piece_without_a_cut_goes_through_the_transducer(libraries, monkeypatch):
+    pair = alignment.Pair(open(bpe.default_path(), encoding="utf-8").read(), open(alignment.default_model(), "rb").read())
+    for text in ("x" * 500 + "é日本" * 90, "a  b\n\n c", "<|endoftext|>  <s>", "don't 's"):
+        fast = pair.encode(text)
+        with monkeypatch.context() as patched:
+            patched.setattr(alignment, "UNBROKEN", 0)
+            slow = pair.encode(text)
+        assert fast[0].tolist() == slow[0].tolist() == libraries[0].encode_ordinary(" " + text) and fast[1].tolist() == slow[1].tolist()
+
+
 def test_ranks_and_places_of_a_bitset():
     import numpy as np
 
