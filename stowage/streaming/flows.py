@@ -3,40 +3,17 @@
 State is kept by the state store, so a restarted query goes on from its checkpoint; use one checkpoint for each query.
 """
 
-import time
+import json
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from stowage.functions.text import file_name, parent
-from stowage.operators.lineage import HELD, fold
-
-
-@contextmanager
-def single_flight(spark: SparkSession, path: str, stale_seconds: float | None = None) -> Iterator[bool]:
-    """Whether this run is the only one: true while it holds the lock file at ``path`` (any store that Spark reaches).
-
-    The file is made by an atomic create. A run that finds one yields false and should do nothing. A lock older than
-    ``stale_seconds`` is that of a run that died, and is taken over.
-    """
-    jvm = spark.sparkContext._jvm
-    lock = jvm.org.apache.hadoop.fs.Path(path)
-    store = lock.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if stale_seconds is not None and store.exists(lock) and time.time() - store.getFileStatus(lock).getModificationTime() / 1000 > stale_seconds:
-        store.delete(lock, False)
-    if lock.getParent() is not None:
-        store.mkdirs(lock.getParent())
-    held = store.createNewFile(lock)
-    try:
-        yield held
-    finally:
-        if held:
-            store.delete(lock, False)
+from stowage.operators.lineage import HELD, clock_json, dominates
+from stowage.streaming.lease import single_flight  # noqa: F401
 
 
 def triggers(files: DataFrame, delay: str = "10 minutes", time: str = "ts") -> DataFrame:
@@ -83,24 +60,61 @@ def completeness(discs: DataFrame, key: str = "album_key") -> DataFrame:
     return discs.groupBy(key).transformWithStateInPandas(Discs(key), f"{key} {kind}, have int, need int, ready boolean", "Update", "None")
 
 
-def lineage(observations: DataFrame) -> DataFrame:
+class Documents(StatefulProcessor):
+    """A document's versions by hash, their clocks, what each location holds, and the head: each in a state of its own, so
+    that an observation reads and writes only what it is about, however many versions there are."""
+
+    def __init__(self, ttl_ms: int | None):
+        self.ttl_ms = ttl_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.versions = handle.getMapState("versions", "sha string", "version_id long", self.ttl_ms)
+        self.clocks = handle.getMapState("clocks", "version_id long", "vclock string", self.ttl_ms)
+        self.places = handle.getMapState("places", "location_id long", "version_id long", self.ttl_ms)
+        self.head = handle.getValueState("head", "head long, last long", self.ttl_ms)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        seen = sorted({(int(r.location_id), r.actor, r.sha) for frame in rows for r in frame.itertuples()})
+        at = lambda state, k: state.getValue((k,))[0] if state.containsKey((k,)) else None
+        clock = lambda v: json.loads(at(self.clocks, v) or "{}") if v is not None else {}
+        head, last = self.head.get() if self.head.exists() else (None, 0)
+        held = []
+        for location, actor, sha in seen:
+            version = at(self.versions, sha)
+            if version is None:
+                base = at(self.places, location)
+                linear = head is None or base == head
+                grown = clock(head if linear else base)
+                grown[actor] = grown.get(actor, 0) + 1
+                version = last = last + 1
+                self.versions.updateValue((sha,), (version,))
+                self.clocks.updateValue((version,), (clock_json(grown),))
+                if linear:
+                    head = version
+            held.append((location, version, sha))
+        self.head.update((head, last))
+        top, out = clock(head), []
+        for location, version, sha in held:
+            if at(self.places, location) != version:
+                self.places.updateValue((location,), (version,))
+            own = clock(version)
+            behind = version != head and dominates(top, own)
+            out.append((key[0], location, version, sha, version == head, behind, version != head and not behind and not dominates(own, top), head))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in HELD.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def lineage(observations: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """What locations hold, for each document that a batch touches; observations: doc_id, location_id, actor, sha.
 
     An observation that comes late is judged by the base its location is known to hold, so it never overwrites what
-    went on elsewhere: it is concurrent. Folding it again changes nothing.
+    went on elsewhere: it is concurrent. Folding it again changes nothing. With ``ttl_ms``, versions and locations that
+    were not written for so long are forgotten. State is kept in RocksDB, which this sets for the session's streams.
     """
-
-    def step(group: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ids, shas, clocks, places, bases, head = state.get if state.exists else ([], [], [], [], [], None)
-        versions, prior = list(zip(ids, shas, clocks)), dict(zip(places, bases))
-        for frame in frames:
-            seen = [(int(r.location_id), r.actor, r.sha) for r in frame.itertuples()]
-            held, after, head = fold(seen, versions, prior, head)
-            versions, prior = [(v, s, c) for v, s, c, _ in after], prior | {h[0]: h[1] for h in held}
-            yield pd.DataFrame([(group[0], *h, head) for h in held], columns=[c.split()[0] for c in HELD.split(", ")])
-        state.update(([v for v, _, _ in versions], [s for _, s, _ in versions], [c for _, _, c in versions], list(prior), list(prior.values()), head))
-
-    return observations.groupBy("doc_id").applyInPandasWithState(step, HELD, "ids array<bigint>, shas array<string>, clocks array<string>, places array<bigint>, bases array<bigint>, head bigint", "append", GroupStateTimeout.NoTimeout)
+    observations.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return observations.groupBy("doc_id").transformWithStateInPandas(Documents(ttl_ms), HELD, "Append", "ProcessingTime" if ttl_ms else "None")
 
 
 def progress(rows: DataFrame, name: str, size: str | None = None) -> DataFrame:
