@@ -29,6 +29,7 @@ SMOOTHING = 5
 SHARD_CHARS = 1 << 21  # of terms in one automaton: about 200 MB at worst
 BLOCK_CHARS = 1 << 23  # of texts that meet the shards in turn
 HELD = 200_000  # terms that a task counts before it hands them on
+PARTS = 32  # of a language, when its sources meet each other
 LONG = 64  # characters; longer terms stand in the automaton by their digest
 PIECE = 1 << 20  # characters of a text that are split at a time
 MARK = "\x01"  # begins the stand-in of a long term; no term has it
@@ -203,12 +204,14 @@ def audit(docs: DataFrame, min_docs: int = 30, top: int = 50, text_col: str = "t
     shares = postings.join(groups, ["lang", "source"]).select("lang", "source", "key", "absent", share("n", "whole", "terms").alias("p"))
 
     apart = lambda a, b: F.abs(F.col(a) - F.col(b))
-    left = groups.select("lang", F.col("source").alias("a"), F.col("absent").alias("a0"), "terms")
-    right = groups.select("lang", F.col("source").alias("b"), F.col("absent").alias("b0"))
-    without = left.join(right, "lang").where("a <> b").select("lang", "a", "b", (F.col("terms") * apart("a0", "b0")).alias("f"))
+    # Sources meet all others of their language by its parts, as one language may have most of them.
+    part = F.pmod(F.xxhash64("a", "a0"), F.lit(PARTS)).cast("int").alias("part")
+    left = groups.select("lang", F.col("source").alias("a"), F.col("absent").alias("a0"), "terms").withColumn("part", part)
+    right = groups.select("lang", F.col("source").alias("b"), F.col("absent").alias("b0"), F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    without = left.join(right, ["lang", "part"]).where("a <> b").select("lang", "a", "b", (F.col("terms") * apart("a0", "b0")).alias("f"))
     # Terms of one side, by their shares: few distinct ones, as counts repeat.
-    levels = shares.groupBy("lang", F.col("source").alias("a"), F.col("absent").alias("a0"), "p").agg(F.count("*").alias("m"))
-    one = levels.join(right, "lang").where("a <> b").groupBy("lang", "a", "b").agg(F.sum(F.col("m") * (apart("p", "b0") - apart("a0", "b0"))).alias("f"))
+    levels = shares.groupBy("lang", F.col("source").alias("a"), F.col("absent").alias("a0"), "p").agg(F.count("*").alias("m")).withColumn("part", F.pmod(F.xxhash64("a", "p"), F.lit(PARTS)).cast("int"))
+    one = levels.join(right, ["lang", "part"]).where("a <> b").groupBy("lang", "a", "b").agg(F.sum(F.col("m") * (apart("p", "b0") - apart("a0", "b0"))).alias("f"))
     x = shares.select("lang", "key", F.col("source").alias("a"), F.col("absent").alias("a0"), F.col("p").alias("pa"))
     y = shares.select("lang", "key", F.col("source").alias("b"), F.col("absent").alias("b0"), F.col("p").alias("pb"))
     met = x.join(y, ["lang", "key"]).where("a < b")
