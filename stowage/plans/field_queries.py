@@ -1,14 +1,16 @@
 """More registered queries: keys, fields, tags, releases, lookups, stores, inventory, retiming and streams, each with its SQL."""
 
+import functools
 import uuid
 
 from pyspark.sql import functions as F
 
 from stowage.functions import clocks, keys, releases, tags, text, timed
-from stowage.operators import gates, lineage, relational, resolve, sequence
+from stowage.operators import gates, lineage, ordered, relational, resolve, sequence
 from stowage.plans import inventory, reconcile
 from stowage.plans.queries import _UUID, BINDINGS, MADE, bound, query
-from stowage.sources import catalogs, files
+from stowage.scratch import new_folder
+from stowage.sources import catalogs, events, files, paged, sqlite
 from stowage.streaming import flows
 
 #: A name-based UUID of what ``_UUID`` hashes.
@@ -265,12 +267,15 @@ def rip_headers(album):
     return album.select("ordinal", files.rip_identity(log).alias("i")).select("ordinal", F.col("i.artist").alias("artist"), F.col("i.album").alias("album"))
 
 
-@query("nation", sql="""SELECT 'fixture' AS source, CASE WHEN n_nationkey % 3 = 0 THEN 'n' || n_nationkey ELSE CAST(n_nationkey AS VARCHAR) END AS source_id, n_name AS title, CASE n_nationkey % 3 WHEN 0 THEN 'cd' WHEN 1 THEN 'vinyl' ELSE 'other,cd' END AS media, CASE WHEN n_nationkey % 2 = 0 THEN 1970 + n_nationkey END AS year FROM {nation}""")
-def hand_written_items(nation):
-    k = F.col("n_nationkey")
-    item = F.struct(F.when(k % 3 == 0, F.concat(F.lit("n"), k.cast("string"))).alias("id"), F.col("n_name").alias("title"), F.when(k % 3 == 1, F.lit("Vinyl")).when(k % 3 == 2, F.lit('["tape?","CD"]')).alias("media"), F.when(k % 2 == 0, 1970 + k).cast("string").alias("year"))
-    rows = nation.agg(F.to_json(F.struct(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("v")))), lambda x: x["v"]).alias("items"))).alias("value"))
-    return catalogs.hand_written(nation.sparkSession, rows).select("source", "source_id", "title", F.array_join("media", ",").alias("media"), "year")
+@query("customer", sql="""SELECT 'fixture' AS source, CASE WHEN c_custkey % 3 = 0 THEN 'n' || c_custkey ELSE CAST(row_number() OVER (PARTITION BY c_custkey // 40 ORDER BY c_custkey) - 1 AS VARCHAR) END AS source_id, c_name AS title,
+    CASE c_custkey % 3 WHEN 0 THEN 'cd' WHEN 1 THEN 'vinyl' ELSE 'other,cd' END AS media, CASE WHEN c_custkey % 2 = 0 THEN CAST(1970 + c_custkey % 50 AS INTEGER) END AS year FROM {customer}""")
+def hand_written_items(customer):
+    """Many collections of at most forty items, a text each."""
+    k = F.col("c_custkey")
+    item = F.struct(F.when(k % 3 == 0, F.concat(F.lit("n"), k.cast("string"))).alias("id"), F.col("c_name").alias("title"), F.when(k % 3 == 1, F.lit("Vinyl")).when(k % 3 == 2, F.lit('["tape?","CD"]')).alias("media"), F.when(k % 2 == 0, 1970 + k % 50).cast("string").alias("year"))
+    held = customer.groupBy(F.floor(k / 40)).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), item.alias("v")))).alias("held"))
+    texts = held.select(F.to_json(F.struct(F.transform("held", lambda x: x["v"]).alias("items"))).alias("value"))
+    return catalogs.hand_written(customer.sparkSession, texts).select("source", "source_id", "title", F.array_join("media", ",").alias("media"), "year")
 
 
 @query("album", sql="""SELECT '{"item_key":"c:' || ordinal || '","status":"missing","reason":"x","score":' || CASE WHEN ordinal % 2 = 0 THEN '0.123' ELSE '1.0' END || ',"ignored":' || CASE WHEN ordinal % 3 = 0 THEN 'true' ELSE 'false' END || ',"matched":{"albumartist":"' || albumartist || '","album":"' || album || '"}}' AS value FROM {album}""")
@@ -280,19 +285,10 @@ def audit_report(album):
     return catalogs.report(rows)
 
 
-def _folder(spark):
-    """A new folder under the checkpoint folder, or under /tmp in a local session, for what a query stores and reads back."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.split("[")[0] == "local":
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = base or "file:///tmp/checkpoints"
-    return f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
-
-
 @query("album", sql="SELECT ordinal, albumartist, album, item_id, text FROM (SELECT ordinal, albumartist, album, ordinal + 5 AS item_id, '[00:01.00]' || album AS text FROM {album}) x WHERE album <> ''")
 def stored_catalogs(album):
     """Written and read back through the sources: a stored table, a foreign catalog's export, timed texts, an ignore list."""
-    spark, folder = album.sparkSession, _folder(album.sparkSession)
+    spark, folder = album.sparkSession, new_folder(album.sparkSession)
     album.select("ordinal", "albumartist", "album").unionByName(album.select("ordinal", "albumartist", F.when(F.col("ordinal") % 2 == 0, "").alias("album"))).write.parquet(f"{folder}/albums")
     album.select(F.col("ordinal").cast("string").cast("binary").alias("path"), (F.col("ordinal") + 5).alias("id")).write.parquet(f"{folder}/index")
     album.select(F.concat(F.col("ordinal").cast("string"), F.lit("\x1f[00:01.00]"), "album").alias("value")).write.text(f"{folder}/texts")
@@ -302,26 +298,101 @@ def stored_catalogs(album):
     return catalogs.stored_albums(spark, f"{folder}/albums").join(index, "ordinal").join(said, "ordinal").select("ordinal", "albumartist", "album", "item_id", "text")
 
 
-@query("nation", sql="SELECT 'c:' || n_nationkey AS item_key, n_name AS artist, 'T' AS title, CASE WHEN n_nationkey % 2 = 0 THEN 'lost' END AS reason, CAST(n_nationkey AS BIGINT) AS ignored_utc FROM {nation}")
-def ignore_list(nation):
-    """The ignore list written as its document and read back."""
-    folder = _folder(nation.sparkSession)
-    k = F.col("n_nationkey")
-    rows = nation.select(F.concat(F.lit("c:"), k.cast("string")).alias("item_key"), F.col("n_name").alias("artist"), F.lit("T").alias("title"), F.when(k % 2 == 0, "lost").alias("reason"), k.cast("long").alias("ignored_utc"))
-    catalogs.ignored_document(rows).coalesce(1).write.text(folder)
-    return catalogs.read_ignored(nation.sparkSession, folder)
+@query("customer", sql="SELECT 'c:' || c_custkey AS item_key, c_name AS artist, 'T' AS title, CASE WHEN c_custkey % 2 = 0 THEN 'lost' END AS reason, CAST(c_custkey AS BIGINT) AS ignored_utc FROM {customer}")
+def ignore_list(customer):
+    """The ignore lists of many owners, written as documents and read back."""
+    folder = new_folder(customer.sparkSession)
+    k = F.col("c_custkey")
+    rows = customer.select(F.floor(k / 40).alias("owner"), F.concat(F.lit("c:"), k.cast("string")).alias("item_key"), F.col("c_name").alias("artist"), F.lit("T").alias("title"), F.when(k % 2 == 0, "lost").alias("reason"), k.cast("long").alias("ignored_utc"))
+    catalogs.ignored_document(rows, "owner").select("value").write.text(folder)
+    return catalogs.read_ignored(customer.sparkSession, folder, whole=False)
+
+
+def _page_store(folder: str):
+    """A service whose pages lie in a folder, by number; it tells how many there are."""
+
+    def fetch(url: str, headers: dict) -> tuple[int, dict, bytes]:
+        import pyarrow.fs as pafs
+
+        store, base = pafs.FileSystem.from_uri(folder)
+        (part,) = [i.path for i in store.get_file_info(pafs.FileSelector(f"{base}/page={url.rsplit('=', 1)[1]}")) if i.base_name.startswith("part-")]
+        with store.open_input_stream(part) as f:
+            return 200, {}, f.read()
+
+    return fetch
+
+
+@query("customer", sql="SELECT CAST(c_custkey AS BIGINT) AS id, c_name AS title, CAST(c_custkey AS BIGINT) AS ordinal FROM {customer}")
+def cached_releases(customer):
+    """Pages of a service, fetched by tasks into a cache, and read again from the cache alone."""
+    spark, folder = customer.sparkSession, new_folder(customer.sparkSession)
+    k, size = F.col("c_custkey"), 50
+    pages = -(-customer.count() // size)
+    release = F.struct(k.alias("id"), F.struct(F.col("c_name").alias("title")).alias("basic_information"))
+    held = customer.groupBy((F.floor(k / size) + 1).alias("page")).agg(F.array_sort(F.collect_list(F.struct(k.alias("k"), release.alias("v")))).alias("held"))
+    page = F.to_json(F.struct(F.transform("held", lambda x: x["v"]).alias("releases"), F.struct(F.lit(pages).alias("pages")).alias("pagination")))
+    held.select("page", page.alias("value")).write.partitionBy("page").text(f"{folder}/service")
+    paged.register(spark, "page_store", _page_store(f"{folder}/service"))
+    options = {"url": "store:?page={page}", "cache": f"{folder}/cache", "streams": 8, "requestsPerMinute": 1e9}
+    paged.releases(spark, size, "page_store", **options).write.format("noop").mode("overwrite").save()
+    return paged.releases(spark, size, "page_store", mode="cached", **options).select("id", F.col("basic_information.title").alias("title"), "ordinal")
+
+
+@query("album", sql="SELECT CAST(ordinal AS BIGINT) + 5 AS item_id, '/m/' || ordinal || '/' || albumartist AS path FROM {album}")
+def foreign_catalogs(album):
+    """Foreign catalogs as SQLite files, each written by a task, and read by ranges of their row ids."""
+    import sqlite3
+
+    spark, folder = album.sparkSession, new_folder(album.sparkSession)
+    plain = folder.removeprefix("file://").removeprefix("file:")
+
+    def write(batches):
+        import os
+
+        import pandas as pd
+        from pyspark import TaskContext
+
+        os.makedirs(plain, exist_ok=True)
+        part = f"{plain}/{TaskContext.get().partitionId()}-{uuid.uuid4().hex}.part"
+        db = sqlite3.connect(part)
+        db.execute("CREATE TABLE items (id INTEGER PRIMARY KEY, path BLOB)")
+        for rows in batches:
+            db.executemany("INSERT INTO items VALUES (?, ?)", [(int(i), p.encode()) for i, p in zip(rows["id"], rows["path"])])
+        db.commit()
+        db.close()
+        name = f"{plain}/{TaskContext.get().partitionId()}.db"
+        os.replace(part, name)
+        yield pd.DataFrame({"name": [name]})
+
+    rows = album.select((F.col("ordinal").cast("long") + 5).alias("id"), F.concat(F.lit("/m/"), F.col("ordinal").cast("string"), F.lit("/"), "albumartist").alias("path"))
+    names = [r["name"] for r in rows.repartition(4, "id").mapInPandas(write, "name string").collect()]  # four files
+    found = [sqlite.foreign_items(spark, name, partitions=4) for name in names]
+    return functools.reduce(lambda a, b: a.unionByName(b), found).select("item_id", F.col("path").cast("string").alias("path"))
+
+
+@query("documents", sql="SELECT DISTINCT 'created' AS event, 'lang=' || lang || '/source=' || source AS rel_path FROM {documents} UNION ALL SELECT DISTINCT 'updated', 'lang=' || lang || '/source=' || source FROM {documents} WHERE doc_id % 3 = 0")
+def folder_events(documents):
+    """A watched tree that Spark writes in two rounds, with a restarted query after each: folders made, then changed."""
+    spark, folder = documents.sparkSession, new_folder(documents.sparkSession)
+    events.register(spark)
+
+    def keep(batch, number: int) -> None:
+        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
 
+    for rows in (documents, documents.where("doc_id % 3 = 0")):
+        rows.select("lang", "source", F.col("doc_id").cast("string").alias("value")).repartition(2, "lang", "source").write.mode("append").partitionBy("lang", "source").text(f"{folder}/tree")
+        seen = spark.readStream.format("file_events").options(path=f"{folder}/tree", state=f"{folder}/journal", depth=2).load()
+        seen.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{folder}/out").where(F.contains("rel_path", F.lit("/source=")) & F.col("is_dir")).select("event", "rel_path")
 
-@query("nation", sql="SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS title, n_nationkey AS ordinal FROM {nation}")
-def cached_releases(nation):
-    """A cache of fetched pages, written and read back while it is fresh."""
-    pages = [[r["n_nationkey"], r["n_name"]] for r in nation.orderBy("n_nationkey").collect()]  # a fetched collection: the driver asks page by page
-    got = catalogs.fetch_pages(lambda page: {"releases": [{"id": i, "basic_information": {"id": i, "title": t}} for i, t in pages[(page - 1) * 10 : page * 10]], "pagination": {"pages": -(-len(pages) // 10)}}, per_page=10)
-    spark, folder = nation.sparkSession, _folder(nation.sparkSession)
-    import json
 
-    spark.createDataFrame([(json.dumps({"fetched_utc": 1000.0, "releases": got}),)], "value string").coalesce(1).write.text(folder)
-    return catalogs.cached_releases(spark, folder, 1000.0 + 3600, 2).select("id", F.col("basic_information.title").alias("title"), "ordinal")
+@query("queue", sql="""SELECT id, action_kind, content_id FROM {queue} WHERE action_kind = 'delete' UNION ALL
+    SELECT (SELECT max(id) FROM {queue} WHERE action_kind = 'delete') + row_number() OVER (ORDER BY content_id, id), action_kind, content_id FROM {queue} WHERE action_kind = 'copy'""")
+def numbered_actions(queue):
+    """Copies appended to the deletions, with ids of their own after the last."""
+    deletes, copies = (queue.where(F.col("action_kind") == kind).select("id", "action_kind", "content_id") for kind in ("delete", "copy"))
+    fresh = ordered.append_numbered(deletes, copies.withColumn("_was", F.col("id")), ["content_id", "_was"])
+    return fresh.drop("_was")
 
 
 # Inventory of a scan
@@ -460,7 +531,7 @@ def _against_stored(doc, stored_version):
 
 def _streamed(rows, name: str, made, mode: str = "update"):
     """``rows`` as a stream of files, run to its end through ``made``; each batch's result is appended, with its number."""
-    spark, folder = rows.sparkSession, _folder(rows.sparkSession)
+    spark, folder = rows.sparkSession, new_folder(rows.sparkSession)
     rows.write.parquet(f"{folder}/in")
     source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(f"{folder}/in")
 
@@ -491,8 +562,8 @@ def stream_completeness(name):
 
 @query("seen", sql="SELECT doc_id, location_id, version_id, sha, is_head FROM {folded}")
 def stream_lineage(seen):
-    """One batch of observations through the stream's state gives what the batch fold gives."""
-    rows = seen.repartition(1)
+    """Observations in several batches and tasks, a document's in one of them, give what the batch fold gives."""
+    rows = seen.repartition(8, "doc_id")
     found = _streamed(rows, "lineage", flows.lineage, "append")
     return found.select("doc_id", "location_id", "version_id", "sha", "is_head")
 

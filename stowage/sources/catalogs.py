@@ -3,6 +3,7 @@
 import json
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,11 +33,12 @@ def stored_albums(spark: SparkSession, path: str) -> DataFrame:
 
 
 def foreign_index(spark: SparkSession, path: str) -> DataFrame:
-    """(path, item_id) of a foreign catalog's export; empty where it cannot be read."""
+    """(path, item_id) of a foreign catalog's export; empty where it cannot be read. ``sqlite.foreign_items`` reads the
+    catalog itself."""
     try:
         return spark.read.parquet(path).select("path", F.col("id").alias("item_id"))
-    except Exception as e:  # a missing or foreign file means that nothing is known
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER" not in str(e) and "UNRESOLVED_COLUMN" not in str(e):
+    except AnalysisException as e:  # a missing or foreign file means that nothing is known
+        if (e.getCondition() or "").split(".")[0] not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA", "UNRESOLVED_COLUMN"):
             raise
         return spark.createDataFrame([], "path binary, item_id long")
 
@@ -83,12 +85,9 @@ def cached_releases(spark: SparkSession, path: str, now: float, ttl_hours: float
 
     ``cached_only`` takes it at any age.
     """
-    try:
-        text = spark.read.option("wholetext", True).text(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return None
-        raise
+    text = _texts(spark, path)
+    if text is None:
+        return None
     element = RELEASE.replace("id long", "id:long", 1).replace(", instance_id long", ",instance_id:long").replace(", date_added string", ",date_added:string").replace(", basic_information struct", ",basic_information:struct")
     held = text.select(F.from_json("value", f"struct<fetched_utc:double,releases:array<struct<{element}>>>").alias("c"))
     fresh = F.lit(cached_only) | (F.lit(now) - F.col("c.fetched_utc") <= ttl_hours * 3600)
@@ -130,23 +129,32 @@ PROVIDERS: dict[str, Callable] = {"fixture": read_hand_written, "releases": lamb
 IGNORED = "item_key string, artist string, title string, reason string, ignored_utc long"
 
 
-def read_ignored(spark: SparkSession, path: str) -> DataFrame:
-    """The ignore list; empty where there is none, an error where it is malformed."""
+def _texts(spark: SparkSession, path: str, whole: bool = True) -> DataFrame | None:
+    """Texts at a path, a file each or a line each; None if there is nothing."""
     try:
-        text = spark.read.option("wholetext", True).text(path)
-    except Exception as e:
-        if "PATH_NOT_FOUND" in str(e):
-            return spark.createDataFrame([], IGNORED)
+        return spark.read.option("wholetext", whole).text(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
         raise
+
+
+def read_ignored(spark: SparkSession, path: str, whole: bool = True) -> DataFrame:
+    """The ignore list, or several of them, a file each or a line each; empty where there is none, an error where one is
+    malformed."""
+    text = _texts(spark, path, whole)
+    if text is None:
+        return spark.createDataFrame([], IGNORED)
     held = F.from_json("value", "struct<version:int,ignored:map<string,struct<artist:string,title:string,reason:string,ignored_utc:bigint>>>")["ignored"]
     sound = F.when(held.isNull(), F.raise_error(F.lit("the ignore list is malformed"))).otherwise(held)
     return text.select(F.explode(sound).alias("item_key", "v")).select("item_key", "v.*")
 
 
-def ignored_document(ignored: DataFrame) -> DataFrame:
-    """One row, ``value``: the ignore list as its JSON document, keys in order. A hand-kept list, so one row holds it."""
+def ignored_document(ignored: DataFrame, *owner: str) -> DataFrame:
+    """(owner, value): the ignore list as its JSON document, keys in order. A hand-kept list, so one row holds an owner's;
+    without ``owner`` there is one list."""
     entry = F.struct(F.col("item_key").alias("key"), F.struct("artist", "title", "reason", "ignored_utc").alias("value"))
-    return ignored.agg(F.to_json(F.struct(F.lit(1).alias("version"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("ignored"))).alias("value"))
+    return ignored.groupBy(*owner).agg(F.to_json(F.struct(F.lit(1).alias("version"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("ignored"))).alias("value"))
 
 
 def report(audited: DataFrame) -> DataFrame:
