@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from stowage.llm.common import cut, shuffle_partitions, slices, starts
 
 CROWDED = 128  # a bucket up to this size is joined with itself
-CHUNK = 1024  # fingerprints of a crowded bucket in a chunk
+CHUNK = 512  # fingerprints of a crowded bucket in a chunk
+ROWS = 128  # of a group that are compared with all of it at a time
 
 
 def fingerprint(text: bytes | None, words: int = 3) -> int:
@@ -72,7 +73,7 @@ def block_masks(max_bits: int, blocks: int) -> list[int]:
 def near_links(fps: DataFrame, max_bits: int = 3, blocks: int = 6) -> DataFrame:
     """(a, b): links among the distinct values of ``fps.fp`` that connect whatever pairs within ``max_bits`` connect."""
     import numpy as np
-    import pandas as pd
+    import pyarrow as pa
 
     keys = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in block_masks(max_bits, blocks)])).alias("choice", "bits"))
     shared = keys.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
@@ -81,21 +82,23 @@ def near_links(fps: DataFrame, max_bits: int = 3, blocks: int = 6) -> DataFrame:
     a, b = few.select("choice", "bits", F.col("fp").alias("a")), few.select("choice", "bits", F.col("fp").alias("b"))
     pairs = a.join(b, (a["choice"] == b["choice"]) & (a["bits"] == b["bits"]) & (a["a"] < b["b"]) & (F.bit_count(a["a"].bitwiseXOR(b["b"])) <= max_bits)).select("a", "b")
 
-    def forest(group: pd.DataFrame) -> pd.DataFrame:
-        f = np.unique(group["fp"].to_numpy(np.int64))
-        near = np.bitwise_count(f[:, None] ^ f[None, :]) <= max_bits
+    def forest(group: pa.Table) -> pa.Table:
+        f = np.unique(group.column("fp").to_numpy())
         label = np.arange(len(f))
-        while True:
-            lower = np.array([label[row].min() for row in near])
+        while True:  # each takes the lowest label among those near it, a block of rows at a time
+            lower = np.empty_like(label)
+            for at in range(0, len(f), ROWS):
+                near = np.bitwise_count(f[at : at + ROWS, None] ^ f[None, :]) <= max_bits
+                lower[at : at + ROWS] = np.where(near, label[None, :], len(f)).min(1)
             if (lower == label).all():
                 break
             label = lower
         linked = label != np.arange(len(f))
-        return pd.DataFrame({"a": f[label[linked]], "b": f[linked]})
+        return pa.table({"a": f[label[linked]], "b": f[linked]})
 
     many = met.where(F.col("n") > CROWDED).withColumn("chunks", F.ceil(F.col("n") / CHUNK)).withColumn("own", F.pmod(F.xxhash64("fp", F.lit(7)), "chunks"))
     many = many.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))).withColumn("lo", F.least("own", "other")).withColumn("hi", F.greatest("own", "other"))
-    crowded = many.groupBy("choice", "bits", "lo", "hi").applyInPandas(forest, "a long, b long")
+    crowded = many.groupBy("choice", "bits", "lo", "hi").applyInArrow(forest, "a long, b long")
     return pairs.unionByName(crowded).distinct()
 
 
