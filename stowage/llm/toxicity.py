@@ -2,9 +2,10 @@
 
 A term is a word, or the first four or five bytes of a longer one, hashed to one of ``2 ** BITS`` numbers. Beside a
 weight for each term the machine learns a short vector for each, whose inner products weigh pairs of terms (an insult
-next to a group's name), which additive weights cannot. It is fitted on at most ``max_rows`` labelled rows in
-expectation (chosen by a hash of the id), on all terms that ``MIN_DOCS`` of them have; a weight must gain ``LEAST_Z``
-standard errors beside all other weights to leave 0, vectors decay. Scoring is one pass over all texts.
+next to a group's name), which additive weights cannot. It is fitted on at most ``max_rows`` labelled rows and
+``max_terms`` terms of them in expectation (rows are chosen by a hash of the id), on all terms that ``MIN_DOCS`` of these
+rows have; a weight must gain ``LEAST_Z`` standard errors beside all other weights to leave 0, vectors decay. Scoring is
+one pass over all texts.
 """
 
 from __future__ import annotations
@@ -15,12 +16,13 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stowage.llm.common import crc_mod, slices, worker_state
+from stowage.llm.common import crc_mod, cut, slices, worker_state
 from stowage.llm.decontam import TO_WORDS
 
 BITS = 20
 MIN_DOCS = 4
 MAX_ROWS = 16_000  # of the fitting sample
+MAX_TERMS = 24_000_000  # of these rows together, four bytes each on the driver
 FACTORS = 4
 STEPS = 1500
 FIRST_STEPS = 1000  # of the weights alone
@@ -134,15 +136,21 @@ def fit(texts: list, labels, factors: int = FACTORS, steps: int = STEPS, rate: f
     return machine
 
 
-def learn(docs: DataFrame, labels: DataFrame, learns, max_rows: int = MAX_ROWS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
-    """Fits on labelled rows for which ``learns`` (a column over the id) holds; conflicting labels of an id count as 1."""
+def learn(docs: DataFrame, labels: DataFrame, learns, max_rows: int = MAX_ROWS, max_terms: int = MAX_TERMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Machine:
+    """Fits on labelled rows for which ``learns`` (a column over the id) holds; conflicting labels of an id count as 1.
+
+    Terms that fewer than ``MIN_DOCS`` fitting rows have are left out before rows come to the driver. Where the rest are
+    more than ``max_terms``, as texts are very long, fewer rows are taken, by the same hash.
+    """
+    import numpy as np
     import pyarrow as pa
 
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where(learns("_id"))
     total = known.count()
     span = 1 << 30
     share = min(span, span * max_rows // max(total, 1))
-    sample = known.where(F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(span)) < share).groupBy("_id").agg(F.max("_label").alias("_label"))
+    draw = F.pmod(F.xxhash64("_id", F.lit(11)), F.lit(span))
+    sample = known.where(draw < share).groupBy("_id").agg(F.max("_label").alias("_label"))
     # About max_rows rows of an id and a label, whatever the input: small enough to send to all.
     rows = docs.join(F.broadcast(sample), docs[id_col] == sample["_id"]).select("_id", F.col(text_col).cast("string").cast("binary").alias("_text"), "_label")
 
@@ -151,10 +159,33 @@ def learn(docs: DataFrame, labels: DataFrame, learns, max_rows: int = MAX_ROWS,
             found = [terms_of(t).astype("<i4").tobytes() for t in batch.column("_text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.binary()), batch.column("_label")], ["_id", "terms", "label"])
 
-    import numpy as np
-
-    got = sorted(rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, terms binary, label int").collect(), key=lambda r: (r["_id"], bytes(r["terms"])))
-    return fit([np.frombuffer(r["terms"], "<i4") for r in got], [int(r["label"] > 0) for r in got])
+    id_type = rows.schema["_id"].dataType.simpleString()
+    fitting = cut(rows.mapInArrow(run, f"_id {id_type}, terms binary, label int"))
+
+    def counted(batches):
+        seen = np.zeros(1 << BITS, np.int64)
+        for batch in batches:
+            for terms in batch.column("terms"):
+                seen[np.frombuffer(terms.as_buffer(), "<i4")] += 1
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(seen[at])], ["term", "n"])
+
+    frequent = fitting.mapInArrow(counted, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= MIN_DOCS).toArrow()  # at most 2 ** BITS
+    shared = docs.sparkSession.sparkContext.broadcast(np.sort(frequent.column("term").to_numpy()))
+    total_terms = int(frequent.column("n").to_numpy().sum())
+
+    def kept(batches):
+        for batch in batches:
+            found = []
+            for terms in batch.column("terms"):
+                own = np.frombuffer(terms.as_buffer(), "<i4")
+                found.append(own[np.isin(own, shared.value, assume_unique=True)].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("_id"), pa.array(found, pa.binary()), batch.column("label")], ["_id", "terms", "label"])
+
+    if total_terms > max_terms:
+        fitting = fitting.where(draw < share * max_terms // total_terms)
+    got = fitting.mapInArrow(kept, f"_id {id_type}, terms binary, label int").toArrow().sort_by([("_id", "ascending"), ("terms", "ascending")])
+    return fit([np.frombuffer(t.as_buffer(), "<i4") for t in got.column("terms")], [int(label > 0) for label in got.column("label").to_pylist()])
 
 
 def score_documents(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -611,6 +611,24 @@ def test_toxicity_learns_from_all_terms_of_long_texts(spark):
     assert set(machine.terms.tolist()) == set(whole.tolist())
 
 
+def test_toxicity_fits_what_comes_to_the_driver_within_its_bound(spark, monkeypatch):
+    import numpy as np
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(60)] + [f"rare{i}" for i in range(4000)]
+    rows = [(i, " ".join(rng.choices(words[:60], k=20) + rng.choices(words[60:], k=5) + (["idiot"] if i % 3 == 0 else []))) for i in range(300)]
+    docs, labels = documents(spark, rows), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(300)], "doc_id long, toxic int")
+    came = []
+    fit = toxicity.fit
+    monkeypatch.setattr(toxicity, "fit", lambda texts, y: came.append(texts) or fit(texts, y))
+    whole = toxicity.learn(docs, labels, lambda c: F.lit(True))
+    plain = fit([toxicity.terms_of(t.encode()) for _, t in rows], [int(i % 3 == 0) for i in range(300)])
+    assert whole.terms.tolist() == plain.terms.tolist() and np.allclose(whole.weights, plain.weights) and np.allclose(whole.vectors, plain.vectors)
+    toxicity.learn(docs, labels, lambda c: F.lit(True), max_terms=2000)
+    sizes = [sum(len(t) for t in texts) for texts in came]
+    assert len(came[0]) == 300 and 1000 < sizes[1] < 3000 < sizes[0] < sum(len(toxicity.terms_of(t.encode())) for _, t in rows)
+
+
 def test_toxicity_edges(spark, edge_rows, empty):
     labels = spark.createDataFrame([(i, i % 2, "clash") for i in range(4, 10)] + [(None, 1, ""), (100, None, ""), (101, 1, ""), (101, 0, "")], "doc_id long, toxic int, text string")
     got = toxicity.toxicity(documents(spark, edge_rows), labels).collect()
