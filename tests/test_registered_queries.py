@@ -86,12 +86,52 @@ def test_matches_equal_loops_over_all_pairs_in_every_tier(spark):
     assert {r["bucket"]: r["n"] for r in catalog.QUERIES["audit_buckets"](spark, FOLDER).collect()} == counts and len(counts) == 4
 
 
-def test_alignment_times_every_line(spark):
-    """Words come in the order of the lines, so no time falls and none is beyond the duration."""
-    rows = catalog.QUERIES["align_words"](spark, FOLDER).orderBy("doc_id", "pos").collect()
-    turns = spark.read.parquet(f"{FOLDER}/conversations.parquet").count()
-    assert len(rows) == turns and all(0 <= r["time"] <= 180 and 0 <= r["confidence"] <= 1 for r in rows)
-    assert all(a["time"] <= b["time"] for a, b in zip(rows, rows[1:]) if a["doc_id"] == b["doc_id"])
+def plain_alignment(lines, duration):
+    """[(time, confidence)] of a text's lines against its own words, spread evenly; by the library's matcher and loops."""
+    from difflib import SequenceMatcher
+
+    import regex
+
+    token = regex.compile(r"[\p{L}\p{N}]+'?[\p{L}\p{N}]*")
+    spoken = [t.lower() for t in token.findall("\n".join(lines))]
+    step = duration * 0.9 / max(len(spoken), 1)
+    start = [round(duration * 0.05 + k * step, 3) for k in range(len(spoken))]
+    wanted = [[t.lower() for t in token.findall(regex.sub(r"\([^)]*\)", " ", x))] for x in lines]
+    flat = [(n, t) for n, tokens in enumerate(wanted) for t in tokens]
+    times, hits = [None] * len(lines), [0] * len(lines)
+    for m in SequenceMatcher(None, spoken, [t for _, t in flat], autojunk=False).get_matching_blocks():
+        for k in range(m.size):
+            n = flat[m.b + k][0]
+            times[n] = start[m.a + k] if times[n] is None else min(times[n], start[m.a + k])
+            hits[n] += 1
+    sure = [0.9 * hits[n] / len(wanted[n]) if wanted[n] else 0.0 for n in range(len(lines))]
+    times = [t if c >= 0.5 else None for t, c in zip(times, sure)]
+    known = [n for n, t in enumerate(times) if t is not None]
+    out, top = [], 0.0
+    for n, t in enumerate(times):
+        if not known:
+            t = duration * (n + 1) / (len(lines) + 1)
+        elif t is None:
+            gap = (times[known[-1]] - times[known[0]]) / (known[-1] - known[0]) if len(known) > 1 else 3.0
+            if n < known[0]:
+                t = max(0.0, times[known[0]] - (known[0] - n) * gap)
+            elif n > known[-1]:
+                t = times[known[-1]] + (n - known[-1]) * gap
+            else:
+                a, b = max(k for k in known if k < n), min(k for k in known if k > n)
+                t = times[a] + (n - a) / (b - a) * (times[b] - times[a])
+        top = max(top, t)
+        out.append((max(0.0, min(duration, top)), sure[n]))
+    return out
+
+
+def test_alignment_equals_a_loop_over_each_text(spark):
+    got = {(r["doc_id"], r["pos"]): (r["text"], r["time"], r["confidence"]) for r in catalog.QUERIES["align_words"](spark, FOLDER).collect()}
+    texts = {}
+    for r in spark.read.parquet(f"{FOLDER}/conversations.parquet").orderBy("conv_id", "turn").collect():
+        texts.setdefault(r["conv_id"], []).append(r["text"])
+    want = {(doc, n): (lines[n], pytest.approx(t, abs=0.0051), pytest.approx(c, abs=0.00051)) for doc, lines in texts.items() for n, (t, c) in enumerate(plain_alignment(lines, 180.0))}
+    assert got == want and len(got) > 50
 
 
 def test_entry_and_registry(spark):
