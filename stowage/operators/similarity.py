@@ -21,9 +21,10 @@ LETTERS_TO = 96  # letters of both texts up to which they meet by letters; longe
 
 
 def numbered(parts: Column) -> Column:
-    """A sorted multiset as a set: each element with its number among its equals."""
+    """A multiset as a set of 64-bit hashes: each element with its number among its equals. Should two have one hash, the
+    sets share more, which loses no pair."""
     ordered = F.array_sort(parts)
-    return F.transform(ordered, lambda c, i: F.concat(c, F.lit("\x00"), (i - F.array_position(ordered, c) + 1).cast("string")))
+    return F.array_distinct(F.transform(ordered, lambda c, i: F.xxhash64(c, i - F.array_position(ordered, c))))
 
 
 def letters(text: Column) -> Column:
@@ -33,7 +34,7 @@ def letters(text: Column) -> Column:
 def neighbours(text: Column) -> Column:
     """The numbered pairs of characters side by side."""
     n = F.char_length(text)
-    return F.when(n < 2, F.array().cast("array<string>")).otherwise(numbered(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))))
+    return F.when(n < 2, F.array().cast("array<bigint>")).otherwise(numbered(F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(2)))))
 
 
 def rarest_first(sets: DataFrame, others: DataFrame, elements: str) -> DataFrame:
@@ -50,11 +51,11 @@ def rarest_first(sets: DataFrame, others: DataFrame, elements: str) -> DataFrame
 
 
 def combinations(prefix: str, l: int) -> Column:
-    """Texts of all combinations of ``l`` elements in their order; ``l`` is 1 or 3."""
+    """All combinations of ``l`` elements in their order, 1 or 3: the element itself, or the hash of the three."""
     if l == 1:
         return F.col(prefix)
-    some = f"flatten(flatten(transform(sequence(0, size({prefix}) - 3), i -> transform(sequence(i + 1, size({prefix}) - 2), j -> transform(sequence(j + 1, size({prefix}) - 1), k -> concat_ws('\x01', {prefix}[i], {prefix}[j], {prefix}[k]))))))"
-    return F.when(F.size(prefix) >= 3, F.expr(some)).otherwise(F.array().cast("array<string>"))
+    some = f"flatten(flatten(transform(sequence(0, size({prefix}) - 3), i -> transform(sequence(i + 1, size({prefix}) - 2), j -> transform(sequence(j + 1, size({prefix}) - 1), k -> xxhash64(array({prefix}[i], {prefix}[j], {prefix}[k])))))))"
+    return F.when(F.size(prefix) >= 3, F.expr(some)).otherwise(F.array().cast("array<bigint>"))
 
 
 def meeting(left: DataFrame, right: DataFrame, elements: str, missing: Callable[[Column], Column], l: int, fits: Column, carried: tuple[str, ...] = ()) -> DataFrame:
@@ -70,7 +71,8 @@ def meeting(left: DataFrame, right: DataFrame, elements: str, missing: Callable[
         return cutoff.select(F.col("text").alias(side), n.alias(f"n_{side}"), F.col("_p").alias(f"_p_{side}"), *[F.col(c).alias(f"{c}_{side}") for c in carried], F.explode(combinations("_p", l)).alias("_key"))
 
     met = keyed(left, "a").join(keyed(right, "b"), "_key")
-    first = F.concat_ws("\x01", F.slice(F.array_intersect("_p_a", "_p_b"), 1, l))
+    shared = F.array_intersect("_p_a", "_p_b")
+    first = F.get(shared, F.lit(0)) if l == 1 else F.xxhash64(F.slice(shared, 1, 3))
     return met.where(fits & (first == F.col("_key"))).drop("_key", "_p_a", "_p_b")
 
 
