@@ -380,7 +380,7 @@ def folder_events(documents):
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
 
     for rows in (documents, documents.where("doc_id % 3 = 0")):
-        rows.select("lang", "source", F.col("doc_id").cast("string").alias("value")).repartition(2, "lang", "source").write.mode("append").partitionBy("lang", "source").text(f"{folder}/tree")
+        rows.select("lang", "source", F.col("doc_id").cast("string").alias("value")).repartition(4).write.mode("append").partitionBy("lang", "source").text(f"{folder}/tree")
         seen = spark.readStream.format("file_events").options(path=f"{folder}/tree", state=f"{folder}/journal", depth=2).load()
         seen.writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/out").where(F.contains("rel_path", F.lit("/source=")) & F.col("is_dir")).select("event", "rel_path")

@@ -59,14 +59,27 @@ def below_floor(presence: DataFrame, locations: DataFrame, min_copies: int) -> D
 
 
 def reconcile(target: int, presence: DataFrame, sidecars: DataFrame, locations: DataFrame, scans: DataFrame, conflicts: DataFrame, min_copies: int = 1) -> DataFrame:
-    """The whole plan for a target: copies of audio and sidecars, missing rows, conflicts; empty if it was never scanned."""
+    """The whole plan for a target: copies of audio and sidecars, missing rows, conflicts; empty if it was never scanned.
+
+    One pass over the presence of audio: what the target has may be missing, what it lacks may be copied, so each content
+    has one action at most, and one aggregate finds both its best source and its row at the target.
+    """
     scanned = F.broadcast(scans.where(F.col("location_id") == target).select(F.lit(1).alias("_scanned")).limit(1))
     none = lambda c, kind: F.lit(None).cast(kind).alias(c)
-    name = locations.where(F.col("location_id") == target).select(F.col("name").alias("_name"))
-    missing = missing_plan(presence, locations, scans, min_copies).where(F.col("location_id") == target).join(F.broadcast(name), F.lit(True))
-    missing = missing.select(F.lit("update_presence").alias("action_kind"), F.lit("audio").alias("content_kind"), "content_id", none("source_location_id", "long"), F.lit(target).cast("long").alias("dest_location_id"), "rel_path", F.concat(F.lit("present in the catalog but not seen in the latest scan of "), "_name").alias("reason"))
-    diverged = conflicts.select(F.lit("resolve_conflict").alias("action_kind"), F.lit("audio").alias("content_kind"), F.col("doc_id").alias("content_id"), F.col("winner_location").alias("source_location_id"), F.lit(target).cast("long").alias("dest_location_id"), none("rel_path", "string"), F.lit("texts diverge").alias("reason"))
-    plan = copy_plan(presence, locations, target).unionByName(copy_plan(sidecars, locations, target, "sidecar")).unionByName(missing).unionByName(diverged)
+    here, dest = F.col("location_id") == target, F.lit(target).cast("long")
+    cutoff = latest_scan(scans.where(here), False).select(F.col("started_utc").alias("_cutoff"))
+    goal = locations.where(here).select(F.col("name").alias("_target"), (F.col("is_authoritative") & ~F.col("is_retention")).alias("_authoring")).join(F.broadcast(cutoff), F.lit(True), "left")
+    known = locations.select("location_id", "name", "is_authoritative", F.lit(True).alias("_known"))
+    source = F.when(~here & F.col("_known"), F.struct((~F.col("is_authoritative")).alias("later"), "location_id", "name", "rel_path"))
+    folded = presence.where("present").join(known, "location_id", "left").groupBy("content_id").agg(F.min(source).alias("s"), F.max(F.when(here, F.struct("observed_utc", "rel_path"))).alias("own"))
+    action = lambda kind, at, path, reason: F.struct(F.lit(kind).alias("action_kind"), at.cast("long").alias("source_location_id"), path.alias("rel_path"), reason.alias("reason"))
+    copies = action("copy", F.col("s.location_id"), F.col("s.rel_path"), F.concat(F.lit("present on "), F.col("s.name"), F.lit(", absent on "), F.col("_target")))
+    unseen = action("update_presence", F.lit(None), F.col("own.rel_path"), F.concat(F.lit("present in the catalog but not seen in the latest scan of "), "_target"))
+    chosen = F.when(F.col("own").isNull() & F.col("s").isNotNull() & ~F.col("_authoring"), copies).when(F.col("own.observed_utc") < F.col("_cutoff"), unseen)
+    audio = folded.join(F.broadcast(goal), F.lit(True)).select("content_id", chosen.alias("a")).where("a is not null")
+    audio = audio.select("a.action_kind", F.lit("audio").alias("content_kind"), "content_id", "a.source_location_id", dest.alias("dest_location_id"), "a.rel_path", "a.reason")
+    diverged = conflicts.select(F.lit("resolve_conflict").alias("action_kind"), F.lit("audio").alias("content_kind"), F.col("doc_id").alias("content_id"), F.col("winner_location").alias("source_location_id"), dest.alias("dest_location_id"), none("rel_path", "string"), F.lit("texts diverge").alias("reason"))
+    plan = audio.unionByName(copy_plan(sidecars, locations, target, "sidecar")).unionByName(diverged)
     return plan.join(scanned, F.lit(True), "left_semi")
 
 
