@@ -34,6 +34,8 @@ RUN_ROWS = 50_000  # captures that a writer sorts at one time
 BLOCK_ROWS = 1024  # captures of a run's block: what a merge holds of each run
 FAN_IN = 128  # runs that a task merges
 LEAST_RANGE, MOST_RANGE = 2048, 1_000_000  # captures of a task's range
+BROADCAST = 100_000  # repeated digests, of about 60 bytes, that are sent to all
+SALTS = 32
 FIRST = datetime.datetime(2020, 1, 1)
 
 
@@ -133,16 +135,29 @@ class LoserTree:
             self._play(winner)
 
 
-def decisions(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
-    """(page_id, payload_digest, refers_to) of the pages that are revisits.
+def repeated(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
+    """(payload_digest, refers_to): payloads of at least ``least`` bytes that several ids have, and the largest of these.
 
-    Payloads are equal if their SHA-1 is. Pages of null id are responses and nothing refers to them; of rows that
-    repeat with the largest id all are responses.
+    Payloads are equal if their SHA-1 is. Null ids count for nothing.
     """
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
-    ids = pages.where("page_id is not null").select("page_id", F.sha1(payload).alias("payload_digest"), F.length(payload).alias("size")).where(F.col("size") >= least).drop("size")
-    largest = ids.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("smallest")).where("refers_to > smallest").drop("smallest")
-    return ids.join(largest, "payload_digest").where("page_id < refers_to").select("page_id", "payload_digest", "refers_to").distinct()
+    ids = pages.where("page_id is not null").select("page_id", F.sha1(payload).alias("payload_digest"), F.length(payload).alias("size")).where(F.col("size") >= least)
+    return ids.groupBy("payload_digest").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("smallest")).where("refers_to > smallest").drop("smallest")
+
+
+def decided(rows: DataFrame, known: DataFrame) -> DataFrame:
+    """``rows`` (page_id, payload_digest, ...) with ``refers_to``, null for responses: of rows that repeat with the largest id
+    all are responses, and so are those of null id.
+
+    Payloads stay where they are while the repeated digests are few enough to send to all; beyond that, digests meet in
+    salted parts, as one payload may be that of most pages.
+    """
+    if known.count() <= BROADCAST:
+        joined = rows.join(F.broadcast(known), "payload_digest", "left")
+    else:
+        parts = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("_salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int")).join(parts, ["payload_digest", "_salt"], "left").drop("_salt")
+    return joined.withColumn("refers_to", F.when(F.col("page_id") < F.col("refers_to"), F.col("refers_to")))
 
 
 #: A capture, as a tuple that sorts by URL key, timestamp and id (null first), then place.
@@ -226,7 +241,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) ->
 
     payload = F.coalesce(F.col("html").cast("string").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"), F.sha1(payload).alias("payload_digest"))
-    rows = rows.join(decisions(pages, least), ["page_id", "payload_digest"], "left")
+    rows = decided(rows, cut(repeated(pages, least)))
 
     def run(batches) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

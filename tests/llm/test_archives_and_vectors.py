@@ -37,12 +37,16 @@ def test_url_keys():
     assert warc.url_key(None) == warc.url_key("") == "-)/"
 
 
-def test_round_trip(spark, monkeypatch):
+@pytest.mark.parametrize("few", [100_000, 0])
+def test_round_trip(spark, monkeypatch, few):
+    """Half of the pages have one payload; repeated digests are sent to all, or meet in salted parts."""
     monkeypatch.setattr(warc, "SEGMENT", 4000)
+    monkeypatch.setattr(warc, "BROADCAST", few)
     rng = random.Random(2)
     big = "é" * 700
     pages = [(i, rng.choice(["http://b.org/x", "http://a.org/y", None, "http://[bad"]), rng.choice([None, "", "tiny", big, big + "2", f"<p>{i}</p>" * 300])) for i in range(120)]
     pages += [(119, *pages[119][1:]), (None, "http://a.org/null", big), (500, "http://z.org", big), (500, "http://z.org", big)]
+    pages += [(i, "http://hot.org/", big) for i in range(600, 720)]
     frame = spark.createDataFrame([(*p, "x", 1) for p in pages], "page_id long, url string, html string, offset string, run int").repartition(5)
     got = warc.archive_round_trip(frame).collect()
     top = {}
