@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), where docs has the columns of ``documents``, and returns what it keeps; all but
 the last return those columns, extra ones too, whatever their names. ``run`` writes each stage's rows to the shared
-folder, reads them for the next, and removes a stage's rows once those of the next are written.
+folder, reads them for the next, and removes a stage's rows once those of the next are written. The rows of the last but
+one stay, as the result that ``run`` returns reads them whenever it is evaluated.
 
 Empty tables stay empty in every stage. Null ids and repeated rows are rows like any other, unless a stage says more.
 """
