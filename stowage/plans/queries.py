@@ -550,7 +550,7 @@ def interpolate_lines(timed_line):
     SELECT conv_id, turn, pos, text, CAST(round((180.0 * 0.05 + pos * (180.0 * 0.9 / n)) * 1000) AS BIGINT) AS start_ms FROM u""".replace("{L}", "<L>").replace("{N}", "<N>"))
 def spread_tokens(conversations):
     rows = conversations.select("conv_id", "turn", "text", F.lit(180.0).alias("duration"))
-    return sequence.spread_tokens(rows, keys=("conv_id", "turn")).select("conv_id", "turn", "pos", "text", F.round(F.col("start") * 1000).cast("long").alias("start_ms"))
+    return sequence.spread_tokens(rows, keys=("conv_id", "turn"), rounded=False).select("conv_id", "turn", "pos", "text", F.round(F.col("start") * 1000).cast("long").alias("start_ms"))
 
 
 ORACLE_SQL["spread_tokens"] = ORACLE_SQL["spread_tokens"].replace("<L>", "{L}").replace("<N>", "{N}")

@@ -38,3 +38,12 @@ def test_appended_rows_get_dense_ids_after_the_last(spark):
     assert again == rows
     assert [r["id"] for r in append_numbered(table.limit(0), fresh.limit(1), ["kind"]).collect()] == [1]
     assert append_numbered(table, fresh.limit(0), ["kind"]).count() == 2
+
+
+def test_spread_times_can_be_had_before_they_are_rounded(spark):
+    from stowage.operators.sequence import spread_tokens
+
+    docs = spark.createDataFrame([(1, " ".join(["w"] * 160), 180.0)], "doc_id long, text string, duration double")
+    raw = {r["pos"]: r["start"] for r in spread_tokens(docs, rounded=False).collect()}
+    assert raw == {i: 180.0 * 0.05 + i * (180.0 * 0.9 / 160) for i in range(160)}
+    assert {r["pos"]: r["start"] for r in spread_tokens(docs).collect()}[7] == 16.088 and round(raw[7] * 1000) == 16087
