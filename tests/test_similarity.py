@@ -67,3 +67,28 @@ def test_pairs_meet_once_however_the_elements_are_ordered(spark):
     met = similarity.meeting(rows, rows, "e", lambda n: F.lit(2), 3, F.lit(True))
     assert sorted((r["a"], r["b"]) for r in met.collect()) == [("p", "p"), ("p", "q"), ("q", "p"), ("q", "q"), ("r", "r")]
     assert similarity.ratio_candidates(rows.limit(0), rows, 0.88).count() == 0
+
+
+def test_closest_albums_in_blocks_equal_a_loop_over_pairs(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from stowage.operators import resolve
+
+    monkeypatch.setattr(resolve, "BLOCK", 2)
+    names = ["blue ring opus 1", "blue ring opus 2", "hot bolt opus 12", "hot bolt", "zq12", "", "ab"]
+    shelf = [(f"a{k % 2}", t, (k, "x", t)) for k, t in enumerate(names * 2)]
+    albums = spark.createDataFrame(shelf, "lib_artist string, lib_title string, m struct<ordinal:long,albumartist:string,album:string>")
+    wanted = {"p": ["blue ring opus 1b"], "q": ["hot bolt opus 12 extra"], "r": ["zq21", "opus"], "s": [], "t": ["ab cd", "2 opus ring"]}
+    titles = spark.createDataFrame([(i, t) for i, ts in wanted.items() for t in ts], "item_key string, title_key string")
+    met = spark.createDataFrame([(i, a) for i in wanted for a in (("a0", "a1") if i != "q" else ("a1",))], "item_key string, lib_artist string")
+    got = {r["item_key"]: (r["tier"], round(r["score"], 9), r["m"]["ordinal"] if r["score"] else None) for r in resolve._closest(met, titles, albums).collect()}
+    for i, ts in wanted.items():
+        found = [(3, 0.0, 0)]
+        for a, t, m in shelf:
+            for w in ts if t and (i != "q" or a == "a1") else ():
+                x, y = set(w.split()), set(t.split())
+                within = min(len(w), len(t)) >= 3 and (f" {w} " in f" {t} " or f" {t} " in f" {w} ")
+                score = 1.0 if within else max(len(x & y) / len(x | y), SequenceMatcher(None, w, t).ratio())
+                found.append((2 if within else 3, -score, m[0]))
+        tier, minus, at = min(found)
+        assert got[i] == (tier, round(-minus, 9), at if minus else None), i
