@@ -69,6 +69,21 @@ def test_streams_keep_within_one_budget():
     assert [p for _, p in sorted(made)] == list(range(1, 10)) and all(b - a >= 1.1 - 1e-9 for a, b in zip(times, times[1:]))
 
 
+def test_options_are_known_in_any_case(spark, tmp_path):
+    """Spark hands options over in lower case; a rate or an age that is given must not fall back on the default."""
+    fetch = service(str(tmp_path / "log"), 3)
+
+    def no_wait(seconds):
+        assert seconds < 1, f"waits {seconds} s at 6e9 requests a minute"
+
+    paged.register(spark, "pages_c", fetch, no_wait)
+    options = {"url": "http://x/?page={page}", "cache": f"file://{tmp_path}/cache", "streams": 2, "requestsPerMinute": 6e9, "ttlHours": 300}
+    assert paged.releases(spark, per_page=10, name="pages_c", **options).count() == 30
+    paged.register(spark, "pages_d", fetch, no_wait, clock=lambda: time.time() + 10 * 24 * 3600)
+    assert paged.releases(spark, per_page=10, name="pages_d", **options).count() == 30 and set(asked(tmp_path / "log").values()) == {1}
+    assert paged.PageReader({"useragent": "me"}, None, None, None).headers["User-Agent"] == "me"
+
+
 @pytest.mark.parametrize("status, said", [(404, "no such collection"), (401, "needs a token"), (403, "needs a token"), (503, "HTTP 503"), (429, "rate limit")])
 def test_what_a_page_says_is_told(status, said):
     waits = []
