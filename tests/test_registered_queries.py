@@ -140,3 +140,18 @@ def test_entry_and_registry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(catalog.QUERIES) <= set(entry.queries())
+
+
+def test_containing_rows_of_one_text_are_dealt_out(spark, tmp_path):
+    """A name that all parts bear gives pairs in all tasks, and the rows of the SQL."""
+    from pyspark.sql import functions as F
+
+    part = spark.read.parquet(f"{FOLDER}/part.parquet").limit(1)
+    part.crossJoin(spark.range(1500).withColumnRenamed("id", "k")).withColumns({"p_partkey": F.col("k"), "p_name": F.lit("red box")}).drop("k").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    found = catalog.QUERIES["token_contains"](spark, str(tmp_path)).withColumn("at", F.spark_partition_id()).cache()
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert Counter(map(tuple, found.select("item_key", "ordinal").collect())) == Counter(connection.sql(f"SELECT item_key, ordinal FROM ({catalog.ORACLE_SQL['token_contains']}) x").fetchall())
+    held = [r["count"] for r in found.groupBy("at").count().collect()]
+    assert sum(held) > 1_000_000 and max(held) < sum(held) / 2
+    found.unpersist()
