@@ -348,3 +348,14 @@ def test_items_added_before_a_batch_are_added_up_across_slices_of_time(spark):
     # No pairs of batches and items: nothing joins on the key alone.
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert "_k" in plan and "added_utc" not in "".join(line for line in plan.splitlines() if "Join" in line)
+
+
+def test_an_upsert_leaves_rows_where_their_fold_put_them(spark):
+    """Neither the folded table nor the folded changes are shuffled again to be joined, and null keys still match."""
+    rows = spark.range(40).selectExpr("coalesce(id % 7, 0) AS k", "coalesce(id % 3, 0) AS l", "id AS at", "CAST(id AS STRING) AS note")
+    folded = relational.latest(rows, ["k", "l"], ["at"])
+    changed = relational.upsert(folded, relational.latest(rows.where("k > 3"), ["k", "l"], ["at"]).withColumn("note", F.lit("new")), ["k", "l"])
+    assert changed._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    assert sorted((r["k"], r["l"], r["note"] == "new") for r in changed.collect()) == [(k, lo, k > 3) for k in range(7) for lo in range(3)]
+    table, changes = (spark.createDataFrame(r, "k long, l long, v string") for r in ([(1, None, "a"), (None, None, "b"), (2, 2, "c")], [(1, None, "x"), (None, None, "y"), (None, 2, "z"), (2, 2, None)]))
+    assert sorted(map(repr, map(tuple, relational.upsert(table, changes, ["k", "l"]).collect()))) == sorted(map(repr, [(1, None, "x"), (None, None, "y"), (None, 2, "z"), (2, 2, None)]))
