@@ -74,10 +74,23 @@ class Documents(StatefulProcessor):
         self.head = handle.getValueState("head", "head long, last long", self.ttl_ms)
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        seen = sorted({(int(r.location_id), r.actor, r.sha) for frame in rows for r in frame.itertuples()})
-        at = lambda state, k: state.getValue((k,))[0] if state.containsKey((k,)) else None
+        seen = sorted({(int(k), a, s) for frame in rows for k, a, s in zip(frame["location_id"].tolist(), frame["actor"].tolist(), frame["sha"].tolist())})
+        # Each call of a state is a round trip, so a value is read once, and none of a document that has no head yet: the
+        # head is written last, so it outlives the rest.
+        new, held_here = not self.head.exists(), {}
+
+        def at(state, k):
+            place = (id(state), k)
+            if place not in held_here:
+                held_here[place] = state.getValue((k,))[0] if not new and state.containsKey((k,)) else None
+            return held_here[place]
+
+        def put(state, k, value) -> None:
+            held_here[id(state), k] = value
+            state.updateValue((k,), (value,))
+
         clock = lambda v: json.loads(at(self.clocks, v) or "{}") if v is not None else {}
-        head, last = self.head.get() if self.head.exists() else (None, 0)
+        head, last = (None, 0) if new else self.head.get()
         held = []
         for location, actor, sha in seen:
             version = at(self.versions, sha)
@@ -87,8 +100,8 @@ class Documents(StatefulProcessor):
                 grown = clock(head if linear else base)
                 grown[actor] = grown.get(actor, 0) + 1
                 version = last = last + 1
-                self.versions.updateValue((sha,), (version,))
-                self.clocks.updateValue((version,), (clock_json(grown),))
+                put(self.versions, sha, version)
+                put(self.clocks, version, clock_json(grown))
                 if linear:
                     head = version
             held.append((location, version, sha))
@@ -96,7 +109,7 @@ class Documents(StatefulProcessor):
         top, out = clock(head), []
         for location, version, sha in held:
             if at(self.places, location) != version:
-                self.places.updateValue((location,), (version,))
+                put(self.places, location, version)
             own = clock(version)
             behind = version != head and dominates(top, own)
             out.append((key[0], location, version, sha, version == head, behind, version != head and not behind and not dominates(own, top), head))

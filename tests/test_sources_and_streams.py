@@ -184,3 +184,37 @@ def test_only_one_run_flies(spark, tmp_path):
     os.utime(tmp_path / "locks" / "run.lock", (time.time() - 500, time.time() - 500))
     with single_flight(spark, path) as held, single_flight(spark, path, stale_seconds=100) as taken:
         assert not held and taken
+
+
+def test_a_document_reads_each_state_once_and_none_when_new():
+    """Round trips to the state: none but the head's for a new document, each value once for a known one; same fold."""
+    import pandas as pd
+
+    from stowage.operators.lineage import folded_batches
+    from stowage.streaming.flows import Documents
+
+    reads = []
+
+    class State:
+        def __init__(self, name, *_):
+            self.name, self.kept, self.value = name, {}, None
+
+        containsKey = lambda self, k: reads.append((self.name, k)) or k in self.kept
+        getValue = lambda self, k: self.kept.get(k)
+        updateValue = lambda self, k, v: self.kept.__setitem__(k, v)
+        exists = lambda self: self.value is not None
+        get = lambda self: self.value
+        update = lambda self, v: setattr(self, "value", v)
+
+    class Handle:
+        getMapState = getValueState = lambda self, name, *_: State(name)
+
+    document = Documents(None)
+    document.init(Handle())
+    batches = [[(1, "p", "a"), (2, "q", "a"), (3, "r", "b")], [(1, "p", "c"), (2, "q", "d"), (3, "r", "b")]]
+    for n in (0, 1):
+        reads.clear()
+        (out,) = document.handleInputRows((7,), iter([pd.DataFrame(batches[n], columns=["location_id", "actor", "sha"])]), None)
+        assert len(reads) == len(set(reads)) and (n or not reads)
+    held, _, head = folded_batches(iter(batches))
+    assert [tuple(r)[1:] for r in out.itertuples(index=False)] == [(*h, head) for h in held]
