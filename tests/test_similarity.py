@@ -92,3 +92,39 @@ def test_closest_albums_in_blocks_equal_a_loop_over_pairs(spark, monkeypatch):
                 found.append((2 if within else 3, -score, m[0]))
         tier, minus, at = min(found)
         assert got[i] == (tier, round(-minus, 9), at if minus else None), i
+
+
+def test_items_of_close_artists_meet_shelves_once_and_find_the_first_best(spark, monkeypatch):
+    from stowage.operators import resolve
+
+    for name, size in (("BLOCK", 2), ("SHELF", 9), ("ASKED", 1)):
+        monkeypatch.setattr(resolve, name, size)
+    shelf = [(f"a{k % 20}", f"{w} ring opus {k}", (k, "x", f"t{k}")) for k, w in enumerate(["blue", "hot", "old", "blue"] * 15)]
+    wanted = {"p": "hot ring opus 37", "q": "hot ring opus 9 extra", "r": "zq31", "s": "old ring opus 22b", "t": None, "u": "hot ring opus 1"}
+    key = {i: "far" if i in "pqrst" else "small" for i in wanted}
+    close = {"far": [f"a{k}" for k in range(18)], "small": ["a3", "a2"]}
+    albums = spark.createDataFrame(shelf, "lib_artist string, lib_title string, m struct<ordinal:long,albumartist:string,album:string>")
+    met = spark.createDataFrame(list(key.items()), "item_key string, key string")
+    titles = spark.createDataFrame([x for x in wanted.items() if x[1]], "item_key string, title_key string")
+    near = spark.createDataFrame([(k, a) for k, every in close.items() for a in every], "key string, lib_artist string")
+    rows = lambda equal: {r["item_key"]: (r["tier"], round(r["score"], 9), r["m"]["ordinal"] if r["score"] else None) for r in resolve._closest(met, titles, albums, near, equal).collect()}
+    want = {}
+    for i, w in wanted.items():
+        mine = [(t, m[0]) for a, t, m in shelf if a in close[key[i]]]
+        words = lambda x, y: len(set(x.split()) & set(y.split())) / len(set(x.split()) | set(y.split()))
+        score = lambda t: max(words(w, t), SequenceMatcher(None, w, t).ratio())
+        tier, minus, at = min((2, -1.0, n) if w and (f" {w} " in f" {t} " or f" {t} " in f" {w} ") else (3, -score(t) if w else 0.0, n) for t, n in mine)
+        want[i] = (tier, round(-minus, 9), at if minus else None)
+    assert rows(False) == want and {v[0] for v in want.values()} == {2, 3}
+    assert rows(True) == {"p": (1, 1.0, 37)}
+
+
+def test_short_ratios_equal_the_library():
+    from stowage.operators.resolve import _ratio
+
+    rng = random.Random(5)
+    for letters in ("ab", "abc ", "abcdefgh 12"):
+        for _ in range(1500):
+            a, b = ("".join(rng.choices(letters, k=rng.randint(0, 24))) for _ in "ab")
+            assert _ratio(a, b) == (SequenceMatcher(None, a, b).ratio() if a and b else 0.0), (a, b)
+    assert _ratio("a" * 300, "a" * 250) == SequenceMatcher(None, "a" * 300, "a" * 250).ratio()
