@@ -155,3 +155,19 @@ def test_containing_rows_of_one_text_are_dealt_out(spark, tmp_path):
     held = [r["count"] for r in found.groupBy("at").count().collect()]
     assert sum(held) > 1_000_000 and max(held) < sum(held) / 2
     found.unpersist()
+
+
+def test_blocks_of_containing_rows_grow_with_the_rows(spark, monkeypatch):
+    """Four times the rows of a text are as many blocks, and all their pairs."""
+    from pyspark.sql import functions as F
+
+    from stowage.operators import resolve
+
+    monkeypatch.setattr(resolve, "SPREAD", 16)
+    seen, blocks = [], resolve._blocks
+    monkeypatch.setattr(resolve, "_blocks", lambda *a, **k: seen.append(k["size"]) or blocks(*a, **k))
+    for n in (200, 800):
+        a, b = (spark.range(n).select(F.col("id").alias(c), F.lit("red box").alias("text")) for c in "xy")
+        found = resolve.containing_rows(a, b)
+        assert found.count() == found.distinct().count() == n * n
+    assert seen == [50, 50, 200, 200]
